@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, ogg, simhash, tokenids
+from . import chat, decontam, langid, linededup, ogg, oracles, simhash, tokenids
 from .common import fold_of, table
 
 #: Set to use another vocabulary file.
@@ -28,6 +28,10 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.inspect(ogg.encode(table(spark, sf_dir, "documents")))
 
@@ -45,6 +49,11 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.read_index(tokenids.write_shards(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return linededup.digest(linededup.dedup(docs, linededup.LineState.empty(spark).insert(docs)))
+
+
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -52,10 +61,16 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": language_id,
+    "op3_decontamination": decontamination,
     "op6_media_ogg": media_ogg,
     "op7_chat_format": chat_format,
     "op8_token_ids": token_ids,
+    "op9_line_dedup": line_dedup,
     "op10_simhash_near_dedup": simhash_near_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_decontamination": oracles.DECONTAMINATION,
+    "op7_chat_format": oracles.CHAT_FORMAT,
+    "op9_line_dedup": oracles.LINE_DEDUP,
+}
