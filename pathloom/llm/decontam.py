@@ -273,7 +273,8 @@ def report(found: DataFrame) -> DataFrame:
 
 def clean_only(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs; all columns as they are."""
-    at = docs.columns.index("text")
+    columns = docs.columns
+    at = columns.index("text")
     out = docs
     for rows in _blocks(benchmark):
         w = _prepare(docs, rows)
@@ -283,7 +284,7 @@ def clean_only(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches, sent=sent):
             for batch in batches:
-                for part in common.text_chunks(batch, docs.columns):
+                for part in common.text_chunks(batch, columns):
                     _, doc, _, _ = _find(sent.value, part.column(at).cast(pa.binary()).to_pylist())
                     keep = np.ones(part.num_rows, bool)
                     keep[doc] = False

@@ -173,11 +173,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is known with a probability of ``least``; all columns as they are."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    columns = docs.columns
+    at = columns.index("text")
 
     def run(batches):
         for batch in batches:
-            for part in common.text_chunks(batch, docs.columns):
+            for part in common.text_chunks(batch, columns):
                 lang, p = score_texts(held.value, part.column(at).to_pylist())
                 keep = (p >= least) & (np.array(lang, dtype=object) != UND)
                 if keep.any():

@@ -53,3 +53,42 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
                 + {_escapes('role')} + length(role) - length(replace(role, ':', ''))) AS bigint) AS formatted_chars
 FROM rows GROUP BY conv_id
 """
+
+
+def _mixing(rounds: int, keep: float, powers: dict[str, float]) -> str:
+    """Raking unrolled: each step is one window over the step before."""
+    axes = list(powers)
+    cell = ", ".join(axes)
+    sql = f"SELECT {cell}, tokens, cast(tokens AS double) AS w FROM cells"
+    for _ in range(rounds):
+        for a in axes:
+            sql = f"""SELECT {cell}, tokens, CASE WHEN now > 0 THEN w * aim * total / now ELSE 0 END AS w FROM (
+              SELECT c.*, sum(w) OVER (PARTITION BY {a}) AS now, aim FROM ({sql}) c JOIN aim_{a} USING ({a})), (SELECT sum(tokens) AS total FROM cells)"""
+    aims = ", ".join(
+        f"aim_{a} AS (SELECT {a}, power(sum(tokens), {p}) / sum(power(sum(tokens), {p})) OVER () AS aim FROM cells GROUP BY {a})" for a, p in powers.items()
+    )
+    return rf"""
+WITH marked AS (
+  SELECT doc_id, text, coalesce(source, 'none') AS source, coalesce(lang, 'none') AS lang,
+         CASE WHEN regexp_matches(text, '[Ll]icense|LICENSE|[Cc]opyright|COPYRIGHT') THEN 'legal' WHEN regexp_matches(text, '@|https?://|www\.') THEN 'web'
+              WHEN regexp_matches(text, '[0-9]{{3}}') THEN 'figures' ELSE 'prose' END AS topic,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n_tokens
+  FROM documents),
+cells AS (SELECT {cell}, cast(sum(n_tokens) AS bigint) AS tokens FROM marked GROUP BY {cell}),
+{aims},
+raked AS MATERIALIZED ({sql}),
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY w / tokens DESC, {cell}) AS k, sum(tokens) OVER () AS total,
+         coalesce(sum(tokens) OVER (ORDER BY w / tokens DESC, {cell} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_tokens,
+         sum(w) OVER (ORDER BY w / tokens DESC, {cell} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM raked WHERE tokens > 0),
+factor AS (
+  SELECT c FROM (SELECT k, w / tokens AS r, ({keep} * total - full_tokens) / rest AS c FROM ranked) WHERE c * r <= 1 ORDER BY k LIMIT 1),
+chance AS (SELECT {cell}, CASE WHEN tokens > 0 THEN least(1.0, c * w / tokens) ELSE 1.0 END AS p FROM raked, factor)
+SELECT doc_id, {cell}, n_tokens, round(p, 6) AS p,
+       cast('0x' || substr(md5(coalesce(cast(doc_id AS varchar), text, '')), 1, 8) AS bigint) / 4294967296.0 < p AS sampled
+FROM marked JOIN chance USING ({cell})
+"""
+
+
+MIXING = _mixing(10, 0.8, {"source": 0.5, "lang": 0.7, "topic": 0.5})

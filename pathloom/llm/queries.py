@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, linededup, ogg, oracles, simhash, tokenids
+from . import chat, decontam, langid, linededup, mixing, ogg, oracles, quality, simhash, tokenids, toxicity
 from .common import fold_of, table
 
 #: Set to use another vocabulary file.
@@ -22,6 +22,19 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _learn_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where(fold_of(F.col("doc_id"), 5) != 0)
+
+
+def _judged(scores: DataFrame, threshold: float) -> DataFrame:
+    return scores.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _judged(toxicity.score(docs, toxicity.fit(docs, _learn_from(spark, sf_dir))), 0.5)
+
+
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(fold_of(F.col("doc_id"), 3) != 1))
@@ -32,6 +45,15 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.probabilities(table(spark, sf_dir, "documents")).withColumn("p", F.round("p", 6))
+
+
+def quality_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _judged(quality.score(docs, quality.fit(docs, _learn_from(spark, sf_dir))), quality.THRESHOLD)
+
+
 def media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.inspect(ogg.encode(table(spark, sf_dir, "documents")))
 
@@ -60,8 +82,11 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity_lexicon": toxicity_lexicon,
     "op2_language_id": language_id,
     "op3_decontamination": decontamination,
+    "op4_source_mixing": source_mixing,
+    "op5_quality_pairs": quality_pairs,
     "op6_media_ogg": media_ogg,
     "op7_chat_format": chat_format,
     "op8_token_ids": token_ids,
@@ -71,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op3_decontamination": oracles.DECONTAMINATION,
+    "op4_source_mixing": oracles.MIXING,
     "op7_chat_format": oracles.CHAT_FORMAT,
     "op9_line_dedup": oracles.LINE_DEDUP,
 }
