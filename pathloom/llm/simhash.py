@@ -252,7 +252,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     stay = common.stored(
         found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).select(F.col("doc_id").alias("__id"), F.col("rows").alias("__rows")), "survivors"
     )
-    kept = docs.join(stay, docs["doc_id"] == stay["__id"], "inner")
+    # A merge join at every size: the list of survivors grows with the documents, so it is never sent to all executors.
+    kept = docs.join(stay.hint("merge"), docs["doc_id"] == stay["__id"], "inner")
     once = kept.where("__rows = 1").select(*[docs[c] for c in docs.columns])
     if stay.where("__rows > 1").limit(1).count():
         once = once.unionByName(kept.where("__rows > 1").dropDuplicates(["__id"]).select(*[docs[c] for c in docs.columns]))
