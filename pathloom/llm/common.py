@@ -1,14 +1,7 @@
-"""What the text operators share: tables on shared storage, labels, Arrow batches.
-
-Intermediate results that must outlive an executor are written as Parquet under
-the folder that the session names in ``spark.checkpoint.dir``.  A folder of our
-own is made only where that setting is absent (single-machine use and tests).
-"""
+"""What the text operators share: tables, labels, Arrow batches, logistic models."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,33 +9,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-#: Text bytes that a Python worker turns into objects at a time.
-CHUNK_BYTES = 4 << 20
-
-_own_dirs: dict[str, str] = {}
-
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="pathloom-")
-    return _own_dirs[app]
+from pathloom.storage import shared_dir, stored
 
+__all__ = ["bounded_sample", "fold_of", "logistic_fit", "map_texts", "shared_dir", "shuffle_partitions", "sigmoid", "stored", "table", "text_chunks"]
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: lineage ends here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pathloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # Parquet reads every column back as nullable.
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
-    return spark.read.schema(schema).parquet(path)
+#: Text bytes that a Python worker turns into objects at a time.
+CHUNK_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,36 +68,17 @@ def text_chunks(batch: pa.RecordBatch, columns: list[str], text: str = "text") -
 
 
 def map_texts(docs: DataFrame, columns: list[str], per_chunk, schema: str, text: str = "text") -> DataFrame:
-    """``per_chunk(record batch) -> dict of arrays`` over slices of bounded text size.
+    """``per_chunk(record batch) -> dict of arrays`` over slices of bounded text size."""
 
-    ``per_chunk`` may also be a factory marked ``once``: then it is called once
-    per task and returns the function.
-    """
     def run(batches):
-        f = per_chunk() if getattr(per_chunk, "once", False) else per_chunk
-        out_schema = None
         for batch in batches:
             for part in text_chunks(batch, columns, text):
-                got = f(part)
-                if got is None:
-                    continue
-                if isinstance(got, pa.RecordBatch):
-                    yield got
-                    continue
-                names = list(got)
-                out = pa.RecordBatch.from_arrays([got[n] for n in names], names=names)
-                out_schema = out_schema or out.schema
-                yield out
+                got = per_chunk(part)
+                yield pa.RecordBatch.from_arrays(list(got.values()), names=list(got))
 
     return docs.select(*columns).mapInArrow(run, schema)
 
 
-def once(f):
-    """Marks a factory for ``map_texts``."""
-    f.once = True
-    return f
-
-
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
