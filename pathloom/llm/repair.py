@@ -23,16 +23,19 @@ import numpy as np
 
 MAGIC = b"RPR1"
 _head = struct.Struct("<4s5I")
+_TABLE_BITS = 18
+_MIX = {False: np.uint32(0x9E3779B1), True: np.uint64(0x9E3779B97F4A7C15)}
 
 
-def _frequent(x: np.ndarray, inner: np.ndarray, least: int, most: int) -> np.ndarray:
-    """Codes of the most frequent pairs inside documents, sorted by code."""
-    code = (x[:-1].astype(np.uint64) << np.uint64(32) | x[1:]) if x.dtype != np.uint16 else (x[:-1].astype(np.uint32) << np.uint32(16) | x[1:])
-    code = np.sort(code[inner[:-1]])
+def _frequent(code: np.ndarray, none: int, least: int, most: int) -> np.ndarray:
+    """The most frequent pair codes but ``none``, in ascending order."""
+    code = np.sort(code)
     if not len(code):
         return code
     first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
     n = np.diff(np.append(first, len(code)))
+    if code[-1] == none:
+        n[-1] = 0
     keep = np.flatnonzero(n >= least)
     if len(keep) > most:
         order = np.argsort(-n[keep], kind="stable")[:most]
@@ -40,7 +43,7 @@ def _frequent(x: np.ndarray, inner: np.ndarray, least: int, most: int) -> np.nda
     return code[first[keep]]
 
 
-def compress(tokens: np.ndarray, lengths: np.ndarray, vocab: int, rounds: int = 4, least: int = 16) -> bytes:
+def compress(tokens: np.ndarray, lengths: np.ndarray, vocab: int, rounds: int = 3, least: int = 16) -> bytes:
     """A shard of documents, given as one array of ids and the number of ids of each document."""
     wide = max(vocab, int(tokens.max()) + 1 if len(tokens) else 0) >= 1 << 16
     kind = np.uint32 if wide else np.uint16
@@ -54,30 +57,36 @@ def compress(tokens: np.ndarray, lengths: np.ndarray, vocab: int, rounds: int =
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
     size = np.ones(vocab, np.int64)
+    pair_kind = np.uint64 if wide else np.uint32
+    shift = pair_kind(32 if wide else 16)
+    # No pair: its two symbols would be the last nonterminal that there can be, which is never made.
+    none = pair_kind(np.iinfo(pair_kind).max)
+    limit -= 1
     for k in range(rounds):
         room = limit - len(size)
         if room <= 0 or len(x) < 2:
             break
-        pairs = _frequent(x, inner, least, room // 2 if k < rounds - 1 else room)
+        code = x[:-1].astype(pair_kind) << shift | x[1:]
+        code[~inner[:-1]] = none
+        pairs = _frequent(code, none, least, room // 2 if k < rounds - 1 else room)
         if not len(pairs):
             break
-        shift = pairs.dtype.type(32 if wide else 16)
         a, b = (pairs >> shift).astype(kind), pairs.astype(kind)
-        code = x[:-1].astype(pairs.dtype) << shift | x[1:]
-        # Which rule stands at each place: a table over first symbols bounds the search.
-        may = np.zeros(len(size), bool)
-        may[a] = True
-        at = np.flatnonzero(may[x[:-1]] & inner[:-1])
-        rule = np.searchsorted(pairs, code[at])
-        hit = pairs[np.minimum(rule, len(pairs) - 1)] == code[at]
-        at, rule = at[hit], rule[hit]
+        # Which rule stands at each place: one look into a hashed table.  Of pairs with one slot the last stays; the others wait for the next round.
+        down = pair_kind((64 if wide else 32) - _TABLE_BITS)
+        rule_at = np.zeros(1 << _TABLE_BITS, np.int32)
+        rule_at[(pairs * _MIX[wide]) >> down] = np.arange(len(pairs))
+        rule = rule_at[(code * _MIX[wide]) >> down]
+        at = np.flatnonzero(pairs[rule] == code)
         # In a row of overlapping hits, every second one from the left is replaced.
-        begins = np.concatenate(([True], np.diff(at) != 1))
-        row = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
-        even = (np.arange(len(at)) - row) % 2 == 0
-        at, rule = at[even], rule[even]
-        used, rule = np.unique(rule, return_inverse=True)
-        x[at] = (len(size) + rule).astype(kind)
+        order = np.arange(len(at))
+        row = np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(at) != 1)), order, 0))
+        at = at[(order - row) & 1 == 0]
+        rule = rule[at]
+        used = np.flatnonzero(np.bincount(rule, minlength=len(pairs)))
+        number = np.zeros(len(pairs), kind)
+        number[used] = np.arange(len(size), len(size) + len(used))
+        x[at] = number[rule]
         inner[at] = inner[at + 1]
         keep = np.ones(len(x), bool)
         keep[at + 1] = False

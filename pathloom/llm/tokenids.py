@@ -1,7 +1,8 @@
 """Token ids as binary shards: tokenize, compress by Re-Pair, read back.
 
 Documents are dealt out by ranges of doc_id, so that shards follow one another
-in ascending order of id.  A shard closes after ``SHARD_TOKENS`` ids; its bytes
+in ascending order of id.  A shard closes with the slice of texts in which it
+reaches ``SHARD_TOKENS`` ids; its bytes
 (``repair``) are one row of a Parquet table on shared storage, together with its
 document ids, so that any executor can write and read them.  The place of a
 document among all ids is its place in the shard plus the tokens of the shards
@@ -25,6 +26,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,11 +34,33 @@ from . import common, repair
 
 END_ID = 0
 SHARD_TOKENS = 1 << 20
-#: Pieces kept by a worker; about 60 MB.
-KEPT_PIECES = 400_000
-_cut = re.compile(r" (?=\S)")
-_gap = re.compile(r" (?:\s|$)")
-_lines = re.compile(r"\S+(?:\n\S+)*")
+#: Pieces kept by a worker; about 200 MB.
+KEPT_PIECES = 700_000
+#: Documents of a partition at least.
+RANGE_DOCS = 2000
+#: Shards whose starts are sent to all executors; more are joined.
+SENT_SHARDS = 100_000
+#: Text bytes encoded at a time.
+CHUNK_BYTES = 2 << 20
+#: Longer ones are not kept.
+LONG = 64
+#: Stands for the ids of a piece that cannot be encoded apart.
+ODD = object()
+#: A word of letters, and what comes after it, which begins with a mark but no apostrophe.
+_word_and_tail = re.compile(r"([^\W\d_]+)([^\w\s'\u2019].*)")
+#: Marks that make one step of the tokenizer with what they follow each other by, and never a contraction.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_white = re.compile(r"[\s\x1c-\x1f\x85]")
+
+
+class _Table(dict):
+    """Ids of what follows a space, by piece; a piece that is not there is noted and gives None."""
+
+    def __init__(self):
+        self.asked: dict[str, None] = {}
+
+    def __missing__(self, piece: str) -> None:
+        self.asked[piece] = None
 
 
 class Encoder:
@@ -49,64 +73,166 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.vocab = self.tokenizer.get_vocab_size()
         self.kind = np.uint16 if self.vocab <= 1 << 16 else np.uint32
-        self.known: dict[str, bytes] = {}
+        self.newline = self.ids("\n")
+        #: Ids of what does not follow a space: marks after words, first words of lines, newlines.
+        self.rest: dict[str, bytes] = {"\n": self.newline.tobytes()}
         self.missed = 0
-        self.newline = self._ids("\n")
+        self._renew()
 
-    def _ids(self, text: str) -> np.ndarray:
+    def _renew(self) -> None:
+        self.known = _Table()
+        # Not a piece of its own: white space belongs to the run before it.
+        self.known[""] = ODD
+
+    def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces.  Those whose only white space inside is single newlines go through many in one text, parted by newlines."""
-        plain, other = [], []
-        for p in pieces:
-            body = p[1:] if p[:1] == " " else p
-            (plain if _lines.fullmatch(body) else other).append(p)
-        got = {p: self._ids(p).tobytes() for p in other}
-        if len(self.newline) != 1:
-            return got | {p: self._ids(p).tobytes() for p in plain}
-        for at in range(0, len(plain), 1000):
-            part = plain[at : at + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part) + "\n"], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.flatnonzero(ids == self.newline[0])
-            lines = np.fromiter((p.count("\n") + 1 for p in part), np.int64, len(part))
-            ends = ends[np.cumsum(lines) - 1] if len(ends) == lines.sum() else None
-            if ends is None:
-                got |= {p: self._ids(p).tobytes() for p in part}
+    def _many(self, words: list[str], space: str) -> dict[str, bytes]:
+        """Ids of strings without white space, with ``space`` before each: many go through in one text, parted by newlines."""
+        got: dict[str, bytes] = {}
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            text = f"{space}{f'\n{space}'.join(part)}\n"
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(ids == self.newline[0]) if len(self.newline) == 1 else ()
+            if len(ends) != len(part):
+                got.update((p, self.ids(space + p).tobytes()) for p in part)
                 continue
             data, w = ids.tobytes(), ids.itemsize
-            starts = np.append(0, ends[:-1] + 1)
-            got |= {p: data[a * w : b * w] for p, a, b in zip(part, starts.tolist(), ends.tolist(), strict=True)}
+            ends = (ends * w).tolist()
+            got.update(zip(part, [data[a:b] for a, b in zip([0, *[e + w for e in ends]], ends, strict=False)], strict=True))
         return got
 
     @staticmethod
-    def pieces(text: str) -> list[str]:
-        if not _gap.search(text):
-            first, *rest = text.split(" ")
-        else:
-            first, *rest = _cut.split(text)
-        return [first, *[" " + p for p in rest]] if rest else [first]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) if t else [] for t in texts]
-        get = self.known.get
-        found = [list(map(get, pieces)) for pieces in cut]
-        new = {p for pieces, ids in zip(cut, found, strict=True) if None in ids for p, x in zip(pieces, ids, strict=True) if x is None}
-        got = self._learn(list(new)) if new else {}
-        out = []
-        for pieces, ids in zip(cut, found, strict=True):
-            if None in ids:
-                ids = [x if x is not None else got[p] for p, x in zip(pieces, ids, strict=True)]
-            out.append(b"".join(ids))
-        if len(self.known) < KEPT_PIECES:
-            self.known.update(got)
-        else:
-            # A full table serves on; it begins anew once it has missed several times its size.
-            self.missed += len(got)
-            if self.missed > 8 * KEPT_PIECES:
-                self.known, self.missed = got, 0
+    def _atoms(piece: str) -> list[str] | None:
+        """The piece after its space, cut where the tokenizer's own first step cuts: at single newlines, and between a word and the marks after it."""
+        out: list[str] = []
+        for k, line in enumerate(piece.split("\n")):
+            if not line or _white.search(line):
+                return None
+            if k:
+                out.append("\n")
+            space = "" if k else " "
+            m = _word_and_tail.fullmatch(line)
+            if m:
+                out += [space + m[1], m[2]]
+            else:
+                out.append(space + line)
         return out
 
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces as they are after a space."""
+        known, rest = self.known, self.rest
+        words: dict[str, None] = {}
+        others: dict[str, None] = {}
+        marked: list[tuple[str, str, str]] = []
+        plan: dict[str, list[str]] = {}
+        got: dict[str, bytes] = {}
+        for p in pieces:
+            word = p.rstrip(_MARKS)
+            if word.isalpha():
+                if word not in known:
+                    words[word] = None
+                if len(word) < len(p):
+                    tail = p[len(word) :]
+                    marked.append((p, word, tail))
+                    if tail not in rest:
+                        others[tail] = None
+                continue
+            atoms = self._atoms(p)
+            if atoms is None:
+                got[p] = ODD if _white.match(p) else self.ids(" " + p).tobytes()
+                continue
+            plan[p] = atoms
+            for x in atoms:
+                if x[0] == " ":
+                    if x[1:] not in known:
+                        words[x[1:]] = None
+                elif x not in rest:
+                    others[x] = None
+        new = self._many(list(words), " ")
+        more = self._many(list(others), "")
+        for p, word, tail in marked:
+            got[p] = (new.get(word) or known[word]) + (more.get(tail) or rest[tail])
+        for p, atoms in plan.items():
+            got[p] = b"".join([(new.get(x[1:]) or known[x[1:]]) if x[0] == " " else (more.get(x) or rest[x]) for x in atoms])
+        got.update(new)
+        if len(rest) < KEPT_PIECES // 10:
+            rest.update((x, ids) for x, ids in more.items() if len(x) <= LONG)
+        return got
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (null: empty) one after another, and each text's number of ids; ``end_id`` follows each text.
+
+        Pieces are numbered by a dictionary over all texts, so that each distinct
+        piece is looked up once; the ids are then gathered in numpy.
+        """
+        texts = pc.fill_null(texts, "")
+        n_texts = len(texts)
+        cut = pc.split_pattern(texts, " ")
+        flat = cut.flatten()
+        offsets = cut.offsets.to_numpy()[: n_texts + 1].astype(np.int64)
+        offsets -= offsets[0]
+        first = offsets[:-1]
+        after = np.ones(len(flat), bool)
+        after[first] = False
+        numbered = flat.filter(pa.array(after)).dictionary_encode()
+        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        values = list(map(self.known.__getitem__, words))
+        asked = list(self.known.asked)
+        self.known.asked.clear()
+        if asked:
+            got = self._learn(asked)
+            values = [got[w] if x is None else x for x, w in zip(values, words, strict=True)]
+            self._keep(got)
+        odd = np.fromiter((x is ODD for x in values), bool, len(values))
+        if odd.any():
+            values = [b"" if x is ODD else x for x in values]
+        values += [self._first(h) for h in flat.take(pa.array(first)).to_numpy(zero_copy_only=False)]
+        values.append(b"" if end_id is None else np.array([end_id], self.kind).tobytes())
+        size = np.fromiter(map(len, values), np.int64, len(values)) // np.dtype(self.kind).itemsize
+        start = np.cumsum(size) - size
+        ids = np.frombuffer(b"".join(values), self.kind)
+        # Each text: its first piece, the pieces after spaces, the end.
+        code = np.empty(len(flat) + n_texts, np.int64)
+        at = np.arange(len(flat)) + np.repeat(np.arange(n_texts), np.diff(offsets))
+        code[at[after]] = numbered.indices.to_numpy()
+        code[at[first]] = len(words) + np.arange(n_texts)
+        closing = offsets[1:] + np.arange(n_texts)
+        code[closing] = len(values) - 1
+        n = size[code]
+        ends = np.cumsum(n)
+        index = np.arange(int(ends[-1]) if len(ends) else 0)
+        index += np.repeat(start[code] - (ends - n), n)
+        out, upto = ids[index], ends[closing]
+        lengths = np.diff(upto, prepend=0)
+        if odd.any():
+            # White space beside a space: those texts go through whole.
+            strange = np.unique(np.searchsorted(closing, np.flatnonzero(np.append(odd, np.zeros(len(values) - len(odd), bool))[code])))
+            parts = np.split(out, upto[:-1])
+            tail = [] if end_id is None else [end_id]
+            for k in strange.tolist():
+                parts[k] = np.append(self.ids(texts[k].as_py()), np.array(tail, self.kind))
+            out, lengths = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, n_texts)
+        return out, lengths
+
+    def _keep(self, got: dict[str, bytes]) -> None:
+        known = self.known
+        if len(known) < KEPT_PIECES:
+            known.update(got)
+            for p in [p for p in got if len(p) > LONG]:
+                del known[p]
+            return
+        # A full table serves on; it begins anew once it has missed several times its size.
+        self.missed += len(got)
+        if self.missed > 8 * KEPT_PIECES:
+            self._renew()
+            self.missed = 0
+
+    def _first(self, head: str) -> bytes:
+        """Ids of what stands before the first space."""
+        return (self.rest.get(head) or self.ids(head).tobytes()) if head else b""
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -117,52 +243,66 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _by_ranges(rows: DataFrame, most: int) -> DataFrame:
+    """Ascending ranges of doc_id, one a partition, of ``RANGE_DOCS`` documents or more.
+
+    Bounds are quantiles of the id column, read without the texts.
+    """
+    if rows.schema["doc_id"].dataType.simpleString() not in ("bigint", "int"):
+        return rows.repartitionByRange(most, "doc_id")
+    grid = 1024
+    cuts = F.percentile_approx("doc_id", F.array(*[F.lit(k / grid) for k in range(1, grid)]), F.lit(20 * grid))
+    got = rows.agg(F.count(F.lit(1)).alias("n"), cuts.alias("b")).first()
+    n = min(most, max(rows.sparkSession.sparkContext.defaultParallelism, -(-got["n"] // RANGE_DOCS)))
+    if n > grid:
+        return rows.repartitionByRange(n, "doc_id")
+    bounds = sorted({got["b"][round(k * grid / n) - 1] for k in range(1, n)}) if got["b"] else []
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
+    return rows.repartitionById(n, F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int"))
+
+
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, name: str = "token-shards") -> DataFrame:
     """Shards of whole texts in ascending order of doc_id: doc_ids, n_tokens, data, with part and place giving the order."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = (
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .repartitionByRange(common.shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-        .select("doc_id", "text", F.spark_partition_id().alias("part"))
-    )
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    dealt = _by_ranges(rows, common.shuffle_partitions(spark)).sortWithinPartitions("doc_id", "text").select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches):
         enc = encoder(tokenizer_path)
-        end = np.array([end_id], enc.kind).tobytes()
-        width = len(end)
-        held: list[bytes] = []
-        ids: list = []
-        id_type, place, part_no, tokens = None, 0, 0, 0
+        held: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+        ids: list[pa.Array] = []
+        place, part_no, tokens = 0, 0, 0
 
         def shard():
-            data = np.frombuffer(b"".join(held), enc.kind)
-            lengths = np.fromiter((len(x) // width for x in held), np.int64, len(held))
-            blob = repair.compress(data, lengths, enc.vocab)
+            data, counts = np.concatenate(held), np.concatenate(lengths)
+            names = pa.concat_arrays(ids)
             out = pa.RecordBatch.from_arrays(
-                [pa.array([part_no], pa.int32()), pa.array([place], pa.int32()), pa.array([ids], pa.list_(id_type)), pa.array([len(data)], pa.int64()), pa.array([blob], pa.binary())],
+                [pa.array([part_no], pa.int32()), pa.array([place], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names),
+                 pa.array([len(data)], pa.int64()), pa.array([repair.compress(data, counts, enc.vocab)], pa.binary())],
                 names=["part", "place", "doc_ids", "n_tokens", "data"],
             )
-            held.clear()
-            ids.clear()
+            for x in (held, lengths, ids):
+                x.clear()
             return out
 
         for batch in batches:
-            id_type = batch.column(0).type
             if batch.num_rows:
                 part_no = batch.column(2)[0].as_py()
-            for rows in common.text_chunks(batch, ["doc_id", "text"]):
-                for i, data in zip(rows.column(0).to_pylist(), enc.encode(rows.column(1).to_pylist()), strict=True):
-                    held.append(data + end)
-                    ids.append(i)
-                    tokens += len(held[-1]) // width
-                    if tokens >= shard_tokens:
-                        yield shard()
-                        place, tokens = place + 1, 0
+            for rows in common.text_chunks(batch, ["doc_id", "text"], most=CHUNK_BYTES):
+                got, n = enc.encode(rows.column(1), end_id)
+                held.append(got)
+                lengths.append(n)
+                ids.append(rows.column(0))
+                tokens += len(got)
+                if tokens >= shard_tokens:
+                    yield shard()
+                    place, tokens = place + 1, 0
         if held:
             yield shard()
 
-    made = dealt.mapInArrow(run, f"part int, place int, doc_ids array<{kind}>, n_tokens long, data binary")
+    made = common.small_batches(dealt).mapInArrow(run, f"part int, place int, doc_ids array<{kind}>, n_tokens long, data binary")
     return common.stored(made, name)
 
 
@@ -176,15 +316,17 @@ def shard_starts(shards: DataFrame) -> DataFrame:
     within = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("t"))
     before = parts.select("part", F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return sizes.select("part", "place", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("w")).join(before, "part").select("part", "place", (F.col("base") + F.col("w")).alias("shard_start"))
+    summed = sizes.select("part", "place", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("w"))
+    return summed.join(before, "part").select("part", "place", (F.col("base") + F.col("w")).alias("shard_start"))
 
 
 def read_index(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document, decoded from the shards."""
+    """doc_id, start, n_tokens and ids_crc32 of each document, decoded from the shards where they are."""
     kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
-    placed = shards.join(shard_starts(shards), ["part", "place"])
 
     def run(batches):
+        # Whatever this worker has encoded before, its table is of no use here.
+        _encoders.clear()
         for batch in batches:
             for k in range(batch.num_rows):
                 ids = batch.column(0).slice(k, 1).flatten()
@@ -193,9 +335,14 @@ def read_index(shards: DataFrame) -> DataFrame:
                 n = shard.where[:, 1]
                 ends = np.cumsum(n)
                 crc = [zlib.crc32(data[4 * (e - m) : 4 * e]) for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
+                part, place = (pa.array(np.full(len(n), batch.column(c)[k].as_py(), np.int32)) for c in (2, 3))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(ends - n + batch.column(2)[k].as_py(), pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                    [part, place, ids, pa.array(ends - n, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())],
+                    names=["part", "place", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    return placed.select("doc_ids", "data", "shard_start").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    rows = shards.select("doc_ids", "data", "part", "place").mapInArrow(run, f"part int, place int, doc_id {kind}, at long, n_tokens long, ids_crc32 long")
+    starts = shard_starts(shards)
+    if shards.select("part").count() <= SENT_SHARDS:
+        starts = F.broadcast(starts)
+    return rows.join(starts, ["part", "place"]).select("doc_id", (F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
