@@ -118,7 +118,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
                     names=list(out),
                 )
 
-    return ordered.mapInArrow(run, f"conv_id {kind}, piece int, formatted binary, text_start array<long>, text_bytes array<long>, learned array<boolean>")
+    return common.small_batches(ordered).mapInArrow(run, f"conv_id {kind}, piece int, formatted binary, text_start array<long>, text_bytes array<long>, learned array<boolean>")
 
 
 def read_back(pieces: DataFrame) -> DataFrame:

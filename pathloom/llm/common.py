@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from pathloom.storage import shared_dir, stored
 
-__all__ = ["bounded_sample", "fold_of", "logistic_fit", "map_texts", "shared_dir", "shuffle_partitions", "sigmoid", "stored", "table", "text_chunks"]
+__all__ = ["bounded_sample", "fold_of", "logistic_fit", "map_texts", "shared_dir", "shuffle_partitions", "sigmoid", "small_batches", "stored", "table", "text_chunks"]
 
 #: Text bytes that a Python worker turns into objects at a time.
 CHUNK_BYTES = 4 << 20
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,12 +36,12 @@ def fold_of(doc_id: Column, mod: int) -> Column:
 def bounded_sample(labelled: DataFrame, label: str, per_class: int, classes: int) -> DataFrame:
     """At most ``per_class`` rows of each label, chosen by a hash of doc_id.
 
-    ``labelled`` has doc_id and the label column.  Ids with a null or with
-    several rows count once per label.  The result has at most
-    ``per_class * classes`` rows: labels beyond the ``classes`` most frequent
-    are left out.
+    ``labelled`` has doc_id and the label column.  Rows with a null are left
+    out, repeated rows count once, an id with several labels has the least.
+    The result has at most ``per_class * classes`` rows: labels beyond the
+    ``classes`` most frequent are left out.
     """
-    rows = labelled.select("doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    rows = labelled.select("doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).distinct()
     top = [r[0] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(classes).collect()]
     parts = [
         rows.where(F.col(label) == F.lit(v)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in sorted(top)
@@ -49,11 +51,17 @@ def bounded_sample(labelled: DataFrame, label: str, per_class: int, classes: int
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.dropDuplicates(["doc_id"])
+    return out.groupBy("doc_id").agg(F.min(label).alias(label))
 
 
-def text_chunks(batch: pa.RecordBatch, columns: list[str], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` with at most about CHUNK_BYTES of text, one row at least."""
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session hands texts to Python in batches of BATCH_BYTES or less, as ten thousand long texts would fill a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
+def text_chunks(batch: pa.RecordBatch, columns: list[str], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` with at most about ``most`` bytes of text, one row at least."""
     if not batch.num_rows:
         return
     batch = batch.select(columns)
@@ -62,7 +70,7 @@ def text_chunks(batch: pa.RecordBatch, columns: list[str], text: str = "text") -
     at = 0
     while at < batch.num_rows:
         start = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, start + CHUNK_BYTES, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, start + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
 
@@ -76,7 +84,7 @@ def map_texts(docs: DataFrame, columns: list[str], per_chunk, schema: str, text:
                 got = per_chunk(part)
                 yield pa.RecordBatch.from_arrays(list(got.values()), names=list(got))
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return small_batches(docs).select(*columns).mapInArrow(run, schema)
 
 
 def sigmoid(x):

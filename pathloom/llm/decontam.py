@@ -168,7 +168,7 @@ def _prepare(docs: DataFrame, rows: list[tuple]) -> Windows | None:
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_pydict({"n": np.full(len(at), n, np.int32), "at": at, "seen": c[at]})
 
-    got = docs.select("text").mapInArrow(count, "n int, at long, seen long").groupBy("n", "at").agg(F.sum("seen").alias("seen")).toPandas()
+    got = common.small_batches(docs).select("text").mapInArrow(count, "n int, at long, seen long").groupBy("n", "at").agg(F.sum("seen").alias("seen")).toPandas()
     counts = {}
     for n, known in wanted.items():
         seen = np.zeros(len(known), np.int64)
@@ -291,5 +291,5 @@ def clean_only(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     if keep.any():
                         yield part if keep.all() else part.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = common.small_batches(out).mapInArrow(run, docs.schema)
     return out

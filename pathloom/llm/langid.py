@@ -97,7 +97,7 @@ def fit(docs: DataFrame, per_lang: int = 4000, max_langs: int = 256, max_n: int
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "bucket": at.astype(np.int32), "n": got[at], "docs": np.where(np.arange(len(at)) == 0, seen[lang], 0)})
 
     counted = (
-        rows.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long, docs long")
+        common.small_batches(rows).select("text", "lang").mapInArrow(count, "lang string, bucket int, n long, docs long")
         .groupBy("lang", "bucket").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).toPandas()
     )
     langs = sorted(counted["lang"].unique())
@@ -184,4 +184,4 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
                 if keep.any():
                     yield part if keep.all() else part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.small_batches(docs).mapInArrow(run, docs.schema)

@@ -223,7 +223,7 @@ class LineState:
 
         def update(pdf):
             held = [x for x in pdf["filter"] if x is not None]
-            f = Cuckoo.load(held[0]) if held else Cuckoo.sized(2 * SHARD_KEYS if shards > 1 else max(len(pdf), 1024))
+            f = Cuckoo.load(held[0]) if held else Cuckoo.sized(2 * SHARD_KEYS)
             for sign, change in ((-1, f.delete), (1, f.insert)):
                 part = pdf[pdf["sign"] == sign]
                 change(part["h1"].to_numpy(np.int64), part["h2"].to_numpy(np.int64))
