@@ -5,8 +5,9 @@ marks used as letters become the Latin letter; digits that stand for letters
 inside a word become those letters; invisible characters go; all that is no
 letter becomes one space.
 
-Lexicon: word beginnings and whole words whose share among toxic documents is
-far above that among clean ones, each with the log of that ratio as weight.  A
+Lexicon: word beginnings and whole words that a toxic document holds far more
+often than a clean one (at most ``MOST_A_DOC`` times count), each with the log of
+that ratio as weight.  A
 beginning stands for a family of word forms; longer entries are kept only where
 they say more than a shorter one.  Exception phrases are pairs of neighbouring
 words that hold an entry and occur in clean documents only: an entry covered by
@@ -38,6 +39,8 @@ from . import common
 
 SHORTEST, LONGEST = 3, 12
 MAX_ENTRIES, MAX_PHRASES = 20_000, 20_000
+#: Occurrences in a document that count.
+MOST_A_DOC = 5
 #: Least log ratio of an entry, and how much more a longer entry must say.
 LEAST_WEIGHT, MORE = 1.5, 0.7
 
@@ -137,18 +140,25 @@ class Lexicon:
         return common.sigmoid(self.features(texts) @ self.model)
 
 
-def _beginnings(words: set[str]) -> set[str]:
-    out = set()
-    for w in words:
-        out.update(f" {w[:n]}" for n in range(SHORTEST, min(len(w), LONGEST) + 1))
+def _beginnings(words: list[str]) -> dict[str, int]:
+    """Entries that a document's words allow, with their occurrences up to MOST_A_DOC."""
+    out: Counter = Counter()
+    for w, n in Counter(words).items():
+        for k in range(SHORTEST, min(len(w), LONGEST) + 1):
+            out[f" {w[:k]}"] += n
         if len(w) >= 2:
-            out.add(f" {w} ")
-    return out
+            out[f" {w} "] += n
+    return {e: min(n, MOST_A_DOC) for e, n in out.items()}
+
+
+def _least(toxic: int) -> int:
+    """Occurrences in toxic documents below which a candidate is left to chance."""
+    return max(4, round(0.008 * toxic))
 
 
 def _lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """Entries from (candidate, toxic documents, clean documents) with it."""
-    least = max(3, round(0.004 * toxic))
+    """Entries from (candidate, occurrences in toxic documents, in clean ones)."""
+    least = _least(toxic)
     weight = {}
     for entry, t, c in counts:
         if t >= least:
@@ -164,7 +174,7 @@ def _lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict
 
 
 def _count(rows: DataFrame, candidates, schema_name: str) -> DataFrame:
-    """Documents of each class that hold a candidate: summed in each task, then on the cluster."""
+    """Counts of candidates in the documents of each class: summed in each task, then on the cluster."""
 
     def run(batches):
         sums = (Counter(), Counter())
@@ -180,7 +190,7 @@ def _count(rows: DataFrame, candidates, schema_name: str) -> DataFrame:
                 zero = [0] * len(part)
                 yield pa.RecordBatch.from_pydict({schema_name: part, "t": n if k else zero, "c": zero if k else n})
 
-    return rows.select("text", "label").mapInArrow(run, f"{schema_name} string, t long, c long").groupBy(schema_name).agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    return common.small_batches(rows).select("text", "label").mapInArrow(run, f"{schema_name} string, t long, c long").groupBy(schema_name).agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 6000) -> Lexicon:
@@ -196,8 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     if len(size) < 2:
         return Lexicon({}, base_rate=share[1] / total)
 
-    least = max(3, round(0.004 * size[1]))
-    counts = _count(rows, lambda folded: _beginnings(set(folded.split())), "entry").where(F.col("t") >= least)
+    counts = _count(rows, lambda folded: _beginnings(folded.split()), "entry").where(F.col("t") >= _least(size[1]))
     entries = _lexicon([(r["entry"], r["t"], r["c"]) for r in counts.orderBy(F.desc("t"), "c", "entry").limit(20 * MAX_ENTRIES).collect()], size[1], size[0])
     lexicon = Lexicon(entries)
 
@@ -225,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
             x = sent.value.features(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k].copy()) for k in range(4)), batch.column(1)], names=["a", "b", "c", "d", "label"])
 
-    got = rows.mapInArrow(features, "a double, b double, c double, d double, label int").toPandas()
+    got = common.small_batches(rows).mapInArrow(features, "a double, b double, c double, d double, label int").toPandas()
     x, y = got[["a", "b", "c", "d"]].to_numpy(), got["label"].to_numpy().astype(float)
     weight = np.where(y > 0, share[1] / size[1], share[0] / size[0])
     lexicon.model = common.logistic_fit(x, y, weight / weight.mean())
