@@ -2,7 +2,7 @@
 
 Folding: lower case; look-alike letters of other scripts, fullwidth forms and
 marks used as letters become the Latin letter; digits that stand for letters
-inside a word become those letters; invisible characters go; all that is no
+beside a letter become those letters; invisible characters go; all that is no
 letter becomes one space.
 
 Lexicon: word beginnings and whole words that a toxic document holds far more
@@ -53,7 +53,7 @@ _LOOKALIKE = {
 _MARKS = {"@": "a", "$": "s"}
 _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 _gone = re.compile("[­​-‏⁠﻿]")
-_digit_in_word = re.compile(r"(?<=[^\W\d_])[013457]+(?=[^\W\d_])|(?<![^\W_])[013457](?=[^\W\d_]{2})")
+_digit_in_word = re.compile(r"[013457]+(?=[^\W\d_])|(?<=[^\W\d_])[013457]+")
 _mark_in_word = re.compile(r"(?<=[^\W\d_])[@$](?=[^\W\d_])")
 _no_letter = re.compile(r"[\W\d_]+")
 
