@@ -302,7 +302,6 @@ _HUB = "top/s1"
 _NEAR = f"""SELECT '{_HUB}' AS hub, direction, neighbor, cnt, {O.r('cnt / sum(cnt) OVER (PARTITION BY direction)')} AS share FROM (
   SELECT 'OUT' AS direction, to_state AS neighbor, cnt FROM e WHERE from_state = '{_HUB}' UNION ALL SELECT 'IN', from_state, cnt FROM e WHERE to_state = '{_HUB}')"""
 analysis_query("hub_neighbors", "hub_neighbors", O.over("transition", ctes=O.EDGES, select=_NEAR), screen=_HUB)
-analysis_query("hub_neighbors_auto", "hub_neighbors")
 
 # Chances of being at the target after k steps, the target keeping what gets there: k joins, spelled out by recursion.
 _HIT = """, step(k, state, mass) AS (
@@ -338,25 +337,41 @@ def absorption(spark, folder):
 
 
 # Walks among the screens alone, with their rows summing to one again.
-_WALK = """, inner_p AS (SELECT from_state, to_state, cnt / sum(cnt) OVER (PARTITION BY from_state) AS prob FROM e WHERE from_state NOT IN ('START', 'EXIT') AND to_state NOT IN ('START', 'EXIT')),
-walk(k, state, mass) AS (
+_INNER = ", inner_p AS (SELECT from_state, to_state, cnt / sum(cnt) OVER (PARTITION BY from_state) AS prob FROM e WHERE from_state NOT IN ('START', 'EXIT') AND to_state NOT IN ('START', 'EXIT'))"
+_WALK = """, {name}(k, state, mass) AS (
   SELECT 0, state, cast(1.0 AS double) / (SELECT count(*) FROM sc) FROM sc
-  UNION ALL SELECT k + 1, sc.state, {extra} coalesce(flow.mass, 0) FROM (SELECT DISTINCT k FROM walk WHERE k < {most}) s CROSS JOIN sc
-    LEFT JOIN (SELECT to_state, sum(walk.mass * prob) AS mass FROM walk JOIN inner_p ON from_state = walk.state GROUP BY to_state) flow ON flow.to_state = sc.state)"""
+  UNION ALL SELECT k + 1, sc.state, {extra} coalesce(flow.mass, 0) FROM (SELECT DISTINCT k FROM {name} WHERE k < 200) s CROSS JOIN sc
+    LEFT JOIN (SELECT to_state, sum({name}.mass * prob) AS mass FROM {name} JOIN inner_p ON from_state = {name}.state GROUP BY to_state) flow ON flow.to_state = sc.state)"""
+_STAY = _WALK.format(name="stay", extra="")
+_RANK = _WALK.format(name="rank", extra="0.15 / (SELECT count(*) FROM sc) + 0.85 *")
 
 
-@query("stationary", O.over("transition", recursive=True, ctes=f"{O.EDGES}, {O.STATES}{_WALK.format(extra='', most=200)}", select="SELECT state, round(mass, 4) AS pi FROM walk WHERE k = 200"))
+@query("stationary", O.over("transition", recursive=True, ctes=f"{O.EDGES}, {O.STATES}{_INNER}{_STAY}", select="SELECT state, round(mass, 4) AS pi FROM stay WHERE k = 200"))
 def stationary(spark, folder):
     return markov.flow(Workspace(spark, folder).cubes().transition).select("state", F.round("pi", 4).alias("pi"))
 
 
-@query("pagerank", O.over("transition", recursive=True, ctes=f"{O.EDGES}, {O.STATES}{_WALK.format(extra='0.15 / (SELECT count(*) FROM sc) + 0.85 *', most=200)}", select="SELECT state, round(mass, 4) AS pagerank FROM walk WHERE k = 200"))
+@query("pagerank", O.over("transition", recursive=True, ctes=f"{O.EDGES}, {O.STATES}{_INNER}{_RANK}", select="SELECT state, round(mass, 4) AS pagerank FROM rank WHERE k = 200"))
 def pagerank(spark, folder):
     return markov.flow(Workspace(spark, folder).cubes().transition).select("state", F.round("pagerank", 4).alias("pagerank"))
 
 
-analysis_query("screen_flow", "screen_flow", exit_within=(3,))
-analysis_query("screen_flow_headline", "screen_flow", headline=True)
+_FLOW_CTES = f"""{O.EDGES}, {O.STATES}{_OUT.format(most=400)}{_INNER}{_STAY}{_RANK},
+fl AS (
+  SELECT sc.state, coalesce(x.prob, 0) AS exit_prob, stay.mass AS pi, (SELECT sum(mass) FROM gone WHERE origin = sc.state AND gone.state <> 'EXIT' AND k < 400) AS expected_steps,
+    (SELECT mass FROM gone WHERE origin = sc.state AND gone.state = 'EXIT' AND k = 400) AS p_reach_exit, (SELECT mass FROM gone WHERE origin = sc.state AND gone.state = 'EXIT' AND k = 3) AS p_exit_within_3,
+    rank.mass AS pagerank, cast(coalesce(v.cnt, 0) AS double) AS visits
+  FROM sc LEFT JOIN (SELECT * FROM p WHERE to_state = 'EXIT') x ON x.from_state = sc.state JOIN stay ON stay.k = 200 AND stay.state = sc.state JOIN rank ON rank.k = 200 AND rank.state = sc.state
+    LEFT JOIN (SELECT from_state, sum(cnt) AS cnt FROM e GROUP BY 1) v ON v.from_state = sc.state),
+dt AS (SELECT from_state AS state, -sum(prob * ln(prob)) AS entropy, sum(prob * prob) AS hhi, max(prob) AS top_p, exp(-sum(prob * ln(prob))) AS effective_choices, count(*) AS out_degree,
+  first(to_state ORDER BY cnt DESC, CASE to_state WHEN 'START' THEN 0 WHEN 'EXIT' THEN 2 ELSE 1 END, to_state) AS top_to FROM p GROUP BY 1),
+hd AS (SELECT sum(expected_steps * visits) / sum(visits) AS mean_expected_steps, sum(exit_prob * visits) / sum(visits) AS mean_exit_prob FROM fl)"""
+_FLOW_COLUMNS = ", ".join(f"{O.r(c)} AS {c}" for c in ("exit_prob", "pi", "expected_steps", "p_reach_exit", "pagerank", "visits", "p_exit_within_3", "entropy", "hhi", "top_p", "effective_choices"))
+analysis_query("screen_flow", "screen_flow", O.over("transition", recursive=True, ctes=_FLOW_CTES, select=f"SELECT state, {_FLOW_COLUMNS}, coalesce(out_degree, 0) AS out_degree, top_to, {O.r('mean_exit_prob')} AS exit_baseline, {O.r('exit_prob / mean_exit_prob')} AS exit_lift FROM fl LEFT JOIN dt USING (state), hd"), exit_within=(3,))
+analysis_query("screen_flow_headline", "screen_flow", O.over("transition", recursive=True, ctes=_FLOW_CTES, select=f"SELECT {O.r('mean_expected_steps')} AS mean_expected_steps, {O.r('mean_exit_prob')} AS mean_exit_prob FROM hd"), headline=True)
+
+_TOP_HUB = f"{O.EDGES}, {O.STATES}{_INNER}{_RANK}, hub AS (SELECT state FROM rank WHERE k = 200 ORDER BY mass DESC, state LIMIT 1)"
+analysis_query("hub_neighbors_auto", "hub_neighbors", O.over("transition", recursive=True, ctes=_TOP_HUB, select=_NEAR.replace(f"'{_HUB}'", "(SELECT state FROM hub)")))
 
 analysis_query("cross_service_flow", "cross_service_flow", O.over("transition", select=f"""SELECT from_service, to_service, cast(sum(cnt) AS bigint) AS cnt, {O.r('sum(cnt) / sum(sum(cnt)) OVER (PARTITION BY from_service)')} AS share_of_origin
   FROM (SELECT {O.FROM_SERVICE} AS from_service, {O.TO_SERVICE} AS to_service, cnt FROM c_transition) WHERE from_service IS NOT NULL AND to_service IS NOT NULL GROUP BY 1, 2"""))
@@ -417,7 +432,8 @@ c2 AS (SELECT prev || '>' || cur AS context, cast(sum(cnt) AS bigint) AS cnt, ma
 analysis_query("markov_order_flow", "markov_order_flow", O.over("path", "transition", ctes=_FLOW2, select=f"SELECT context, cnt, top1_next, top_order_next, coalesce(top1_next <> top_order_next, false) AS argmax_flips, {O.r('kl')} AS divergence FROM c2 WHERE cnt >= 5"), min_context=5)
 analysis_query("markov_order_flow_headline", "markov_order_flow", O.over("path", "transition", ctes=_FLOW2, select=f"""SELECT cast(2 AS double) AS "order", {O.r('sum(kl * cnt) / sum(cnt)')} AS excess_information,
   {O.r('coalesce(sum(cnt) FILTER (WHERE top1_next <> top_order_next), 0) / sum(cnt)')} AS flip_share, cast(count(*) FILTER (WHERE cnt >= 5) AS double) AS contexts, {O.r(_COVER.format(3))} AS coverage FROM c2"""), headline=True, min_context=5)
-analysis_query("markov_order3_flow", "markov_order_flow", order=3, min_context=2)
+_FLOW3 = _FLOW2.replace("split_part(path, '>', 1) AS prev, split_part(path, '>', 2) AS cur, split_part(path, '>', 3) AS nx", "split_part(path, '>', 1) || '>' || split_part(path, '>', 2) AS prev, split_part(path, '>', 3) AS cur, split_part(path, '>', 4) AS nx").replace("n = 3", "n = 4")
+analysis_query("markov_order3_flow", "markov_order_flow", O.over("path", "transition", ctes=_FLOW3, select=f"SELECT context, cnt, top1_next, top_order_next, coalesce(top1_next <> top_order_next, false) AS argmax_flips, {O.r('kl')} AS divergence FROM c2 WHERE cnt >= 2"), order=3, min_context=2)
 analysis_query("screen_communities", "screen_communities")
 analysis_query("community_paths", "community_paths")
 
