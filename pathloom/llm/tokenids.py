@@ -2,11 +2,11 @@
 
 Documents are dealt out by ranges of doc_id, so that shards follow one another
 in ascending order of id.  A shard closes with the slice of texts in which it
-reaches ``SHARD_TOKENS`` ids; its bytes
-(``repair``) are one row of a Parquet table on shared storage, together with its
-document ids, so that any executor can write and read them.  The place of a
-document among all ids is its place in the shard plus the tokens of the shards
-before: one number for each shard, summed on the cluster.
+reaches ``SHARD_TOKENS`` ids.  Its bytes (``repair``) are one row of a Parquet
+table on shared storage, together with its document ids, so that any executor can
+write and read them.  The place of a document among all ids is its place in the
+shard plus the tokens of the shards before: one number for each shard, summed on
+the cluster.
 
 Tokenizing.  The byte-level BPE never joins the two sides of a space that stands
 between two other characters: what follows such a space is encoded as it would
@@ -48,7 +48,7 @@ LONG = 64
 ODD = object()
 #: A word of letters, and what comes after it, which begins with a mark but no apostrophe.
 _word_and_tail = re.compile(r"([^\W\d_]+)([^\w\s'\u2019].*)")
-#: Marks that make one step of the tokenizer with what they follow each other by, and never a contraction.
+#: Marks that, after a word of letters, are a step of the tokenizer by themselves; an apostrophe may begin a contraction and is not one.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _white = re.compile(r"[\s\x1c-\x1f\x85]")
 
