@@ -51,43 +51,46 @@ class StateDict:
         return found
 
 
-def values(events: DataFrame, kind: str) -> DataFrame:
-    """uuid, suid, value of the valid events that have one."""
-    of = {
+def _value(kind: str):
+    return {
         "screens": F.when(F.col("action_type") == "Pageview", C.screen_name(F.col("service_code"), F.col("action_name"))),
         "layer1": C.filled(F.col("layer1")), "layer2": C.slot(F.col("layer1"), F.col("layer2")), "versions": C.filled(F.col("raw_version")),
     }[kind]
-    return events.where("is_valid").select("uuid", "suid", of.alias("value")).where("value is not null")
+
+
+def counts_by_kind(events: DataFrame, kinds: tuple[str, ...] = KINDS, exact: bool = True, rsd: float = 0.023) -> DataFrame:
+    """kind, value and its number of sessions, for all kinds in one pass over the valid events."""
+    found = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), _value(k).alias("value")) for k in kinds]), lambda x: x["value"].isNotNull())
+    rows = events.where("is_valid").select("uuid", "suid", F.explode(found).alias("x")).select("uuid", "suid", "x.kind", "x.value")
+    n = F.count_distinct("uuid", "suid") if exact else F.approx_count_distinct(F.concat("uuid", F.lit("|"), "suid"), rsd)
+    return rows.groupBy("kind", "value").agg(n.alias("cnt"))
 
 
 def counts(events: DataFrame, kind: str, exact: bool = True, rsd: float = 0.023) -> DataFrame:
     """value and its number of sessions."""
-    rows = values(events, kind)
-    n = F.count_distinct("uuid", "suid") if exact else F.approx_count_distinct(F.concat("uuid", F.lit("|"), "suid"), rsd)
-    return rows.groupBy("value").agg(n.alias("cnt"))
+    return counts_by_kind(events, (kind,), exact, rsd).drop("kind")
 
 
-def cut(counted: DataFrame, cut_ratio: float = CUT_RATIO, min_count: int = MIN_COUNT, most: int | None = None) -> DataFrame:
-    """value, cnt, rank of the values kept, most frequent first (ties by value).
+def cut(counted: DataFrame, cut_ratio: float = CUT_RATIO, min_count: int = MIN_COUNT, most: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """value, cnt, rank of the values kept, most frequent first (ties by value), within each of ``by``.
 
-    The running sum has no partition, as its order is global: its input is one
+    The running sum is over a whole vocabulary, as its order is: its input is one
     row for each distinct name.
     """
-    order = Window.orderBy(F.desc("cnt"), "value")
+    whole = Window.partitionBy(*(by or [F.lit(1)]))
+    order = whole.orderBy(F.desc("cnt"), "value")
     ranked = counted.withColumns({
         "rank": F.row_number().over(order), "before": F.coalesce(F.sum("cnt").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "total": F.sum("cnt").over(Window.partitionBy(F.lit(1))),
+        "total": F.sum("cnt").over(whole),
     })
-    kept = ranked.where((F.col("before") < F.lit(cut_ratio) * F.col("total")) & (F.col("cnt") >= min_count)).select("value", "cnt", "rank")
+    kept = ranked.where((F.col("before") < F.lit(cut_ratio) * F.col("total")) & (F.col("cnt") >= min_count)).select(*by, "value", "cnt", "rank")
     return kept.where(F.col("rank") <= most) if most else kept
 
 
 def build(events: DataFrame, cut_ratio: float = CUT_RATIO, min_count: int = MIN_COUNT, exact: bool = True) -> StateDict:
     """All four vocabularies; what comes to the driver is what the cut has kept."""
-    kept = None
-    for kind in KINDS:
-        part = cut(counts(events, kind, exact), cut_ratio, min_count, MOST_VERSIONS if kind == "versions" else None).select(F.lit(kind).alias("kind"), "value", "rank")
-        kept = part if kept is None else kept.unionByName(part)
+    kept = cut(counts_by_kind(events, exact=exact), cut_ratio, min_count, by=("kind",))
+    kept = kept.where((F.col("kind") != "versions") | (F.col("rank") <= MOST_VERSIONS))
     rows = sorted(kept.collect(), key=lambda r: (r["kind"], r["rank"]))
     of = {k: tuple(r["value"] for r in rows if r["kind"] == k) for k in KINDS}
     return StateDict(of["screens"], of["layer1"], of["layer2"], of["versions"], cut_ratio, min_count)

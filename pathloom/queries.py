@@ -76,7 +76,7 @@ class Workspace:
             events = self.events()
             v = self.vocabulary(events)
             rows = stored(S.marked(events, DAYS, v), "marked")
-            made = {n: stored(K.build(n, events, DAYS, v, rows, O.TOP).coalesce(1), f"cube-{n}") for n in K.CUBES}
+            made = {n: stored(K.build(n, events, DAYS, v, rows, O.TOP), f"cube-{n}") for n in K.CUBES}
             _kept[key] = CubeSet(**made, state_dict_version=v.version(), services=E.FLAT_SERVICES, requested_dates=tuple(DAYS), present_dates=tuple(DAYS))
         return _kept[key]
 
