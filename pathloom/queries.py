@@ -524,7 +524,21 @@ def compare_session_trend(spark, folder):
     return rounded(spark.createDataFrame([(p["sessions"], p["pv_per_session"], p["seconds_per_session"])], "delta_sessions double, delta_pv_per_session double, delta_seconds_per_session double"))
 
 
-@query("compare_screen_flow")
+# Visit-weighted steps and exits of many chains at once: one for each ``slice`` of w(slice, from_state, to_state, cnt).
+_CHAINS = """pw AS (SELECT slice, from_state, to_state, cnt, cnt / sum(cnt) OVER (PARTITION BY slice, from_state) AS prob FROM w),
+sw AS (SELECT DISTINCT slice, state FROM (SELECT slice, from_state AS state FROM w UNION ALL SELECT slice, to_state FROM w) WHERE state NOT IN ('START', 'EXIT')),
+left_in(k, slice, origin, state, mass) AS (
+  SELECT 0, slice, state, state, cast(1.0 AS double) FROM sw
+  UNION ALL SELECT k + 1, l.slice, origin, q.to_state, sum(mass * q.prob) FROM left_in l JOIN pw q ON q.slice = l.slice AND q.from_state = l.state WHERE l.k < 300 AND q.to_state <> 'EXIT' GROUP BY k, l.slice, origin, q.to_state),
+steps AS (SELECT slice, origin AS state, sum(mass) AS steps FROM left_in GROUP BY 1, 2),
+heads AS (
+  SELECT slice, sum(steps * visits) / sum(visits) AS mean_expected_steps, sum(exits) / sum(visits) AS mean_exit_prob
+  FROM (SELECT slice, from_state AS state, sum(cnt) AS visits, coalesce(sum(cnt) FILTER (WHERE to_state = 'EXIT'), 0) AS exits FROM w WHERE from_state NOT IN ('START', 'EXIT') GROUP BY 1, 2) JOIN steps USING (slice, state) GROUP BY 1)"""
+_BY_DAY = _DAYS_AB + ", w AS (SELECT period || app_version AS slice, from_state, to_state, sum(cnt) AS cnt FROM c_transition WHERE period IN (SELECT period FROM d) AND app_version IN ('1.0', '2.0') GROUP BY ALL), " + _CHAINS
+
+
+@query("compare_screen_flow", O.over("transition", recursive=True, ctes=_BY_DAY, select=f"""SELECT period, {O.r('a.mean_expected_steps / b.mean_expected_steps - 1')} AS delta_mean_expected_steps, {O.r('a.mean_exit_prob / b.mean_exit_prob - 1')} AS delta_mean_exit_prob
+  FROM d JOIN heads a ON a.slice = period || '2.0' JOIN heads b ON b.slice = period || '1.0'"""))
 def compare_screen_flow(spark, folder):
     return _as_frame(spark, _compared("screen_flow")(spark, folder).per_day, "period string, delta_mean_expected_steps double, delta_mean_exit_prob double")
 
@@ -562,7 +576,11 @@ def per_service_transition(spark, folder):
     return _as_frame(spark, segments.per_service(Workspace(spark, folder).cubes(), "screen_transition").frame, "service string, cnt double, share double, pairs double, states double")
 
 
-@query("per_service_flow")
+_BY_SERVICE = _WITHIN.replace("w AS (SELECT v.service, from_state", "w AS (SELECT v.service AS slice, from_state") + ", " + _CHAINS + ", " + _SVC + ", os AS (SELECT service, coalesce(sum(cnt) FILTER (WHERE from_state LIKE '%/other'), 0) / sum(cnt) AS other_share FROM s WHERE service IS NOT NULL GROUP BY 1)"
+
+
+@query("per_service_flow", O.over("transition", recursive=True, ctes=_BY_SERVICE, select=f"""SELECT n.service, cast(n.cnt AS double) AS cnt, {O.r('n.cnt / (SELECT sum(cnt) FROM n)')} AS share, {O.r('other_share')} AS other_share,
+  {O.r('mean_expected_steps')} AS mean_expected_steps, {O.r('mean_exit_prob')} AS mean_exit_prob FROM n JOIN heads ON heads.slice = n.service JOIN os ON os.service = n.service"""))
 def per_service_flow(spark, folder):
     return _as_frame(spark, segments.per_service(Workspace(spark, folder).cubes(), "screen_flow").frame, "service string, cnt double, share double, other_share double, mean_expected_steps double, mean_exit_prob double")
 
