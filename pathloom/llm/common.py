@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pathloom.storage import shared_dir, stored
 
-__all__ = ["bounded_sample", "fold_of", "logistic_fit", "map_texts", "shared_dir", "shuffle_partitions", "sigmoid", "small_batches", "stored", "table", "text_chunks"]
+__all__ = ["bounded_sample", "fold_of", "logistic_fit", "map_texts", "shared_dir", "shuffle_partitions", "sigmoid", "small_batches", "spread", "stored", "table", "text_chunks"]
 
 #: Text bytes that a Python worker turns into objects at a time.
 CHUNK_BYTES = 4 << 20
@@ -54,6 +54,11 @@ def bounded_sample(labelled: DataFrame, label: str, per_class: int, classes: int
     return out.groupBy("doc_id").agg(F.min(label).alias(label))
 
 
+def spread(sample: DataFrame) -> DataFrame:
+    """A bounded sample over as many tasks as can work on it at once (64 at most), however few files it came from."""
+    return sample.repartition(max(1, min(64, sample.sparkSession.sparkContext.defaultParallelism)))
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``; its session hands texts to Python in batches of BATCH_BYTES or less, as ten thousand long texts would fill a worker."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -77,7 +77,7 @@ def fit(docs: DataFrame, per_lang: int = 4000, max_langs: int = 256, max_n: int
     language and no text.
     """
     sample = common.bounded_sample(docs, "lang", per_lang, max_langs)
-    rows = common.stored(docs.select("doc_id", "text", "lang").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi"), "lang-sample")
+    rows = common.stored(common.spread(docs.select("doc_id", "text", "lang").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")), "lang-sample")
     size = 1 << bits
 
     def count(batches):

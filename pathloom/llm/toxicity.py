@@ -201,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     if len(share) < 2:
         return Lexicon({}, base_rate=share.get(1, 0) / total if total else 0.0)
     sample = common.bounded_sample(known.select("doc_id", (F.col(label) > 0).cast("int").alias("label")), "label", per_class, 2)
-    rows = common.stored(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label"), "toxic-sample")
+    rows = common.stored(common.spread(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")), "toxic-sample")
     size = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(size) < 2:
         return Lexicon({}, base_rate=share[1] / total)
