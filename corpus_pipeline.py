@@ -31,8 +31,8 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose sources, languages and topics follow the target weights."""
-    return mixing.draw(docs)
+    """The largest sample whose sources, languages and topics have the target shares."""
+    return mixing.draw(docs, keep=None)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,12 @@ cell's raked weight over its tokens, times one factor for all cells, at most 1;
 the factor is such that the expected number of tokens is ``keep`` of all.  A
 document is drawn if a hash of its id, read as a number from 0 to 1, is below.
 
+Where many cells end at 1, such a sample does not have the target shares: a group
+cannot give more tokens than it has.  With ``keep`` None the sample has them, each
+within ``NEAR``, and is as large as that allows, by steps of ``STEP``: cells are
+raked with no weight above the cell's tokens, to the targets times a share of all
+tokens, first the largest that every group can meet, then smaller ones.
+
 The cells are counted on the cluster (combined before the shuffle).  Up to
 ``MOST_CELLS`` of them are raked on the driver; more are raked as a table, by
 the same steps, with the same results.
@@ -29,6 +35,11 @@ from . import common
 ROUNDS = 10
 KEEP = 0.8
 MOST_CELLS = 100_000
+#: With ``keep`` None: rounds for a share of the tokens, deviation of a group's share that ends them, ratio of the next share, shares tried.
+BOUNDED_ROUNDS = 60
+NEAR = 1e-4
+STEP = 0.98
+TRIES = 300
 AXES = ("source", "lang", "topic")
 #: Target share of a group: its share of tokens to this power, made to sum to 1.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
@@ -90,12 +101,33 @@ def factor(tokens: np.ndarray, w: np.ndarray, keep: float) -> float:
     return c
 
 
+def bounded(tokens: np.ndarray, groups: list[np.ndarray], shares: list[np.ndarray]) -> np.ndarray:
+    """Cell weights of at most the cell's tokens that have the shares of each grouping, as large together as that allows."""
+    total = tokens.sum()
+    if not total:
+        return tokens.astype(float)
+    held = [np.bincount(g, tokens, minlength=len(s)) for g, s in zip(groups, shares, strict=True)]
+    keep = min(float((h[s > 0] / s[s > 0]).min()) for h, s in zip(held, shares, strict=True)) / total
+    for _ in range(TRIES):
+        w = tokens * keep
+        for _ in range(BOUNDED_ROUNDS):
+            off = 0.0
+            for g, share in zip(groups, shares, strict=True):
+                now = np.bincount(g, w, minlength=len(share))
+                off = max(off, np.abs(now - share * keep * total).max() / (keep * total))
+                w = np.minimum(tokens, w * np.where(now[g] > 0, share[g] * keep * total / np.where(now[g] > 0, now[g], 1), 0))
+            if off <= NEAR:
+                return w
+        keep *= STEP
+    raise ValueError("no share of the tokens has the target shares")
+
+
 def cells(docs: DataFrame) -> DataFrame:
     marked = _marked(docs.select("text", "source", "lang"))
     return marked.groupBy(*[F.col(f"__{a}").alias(a) for a in AXES]).agg(F.sum("__tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
 
 
-def cell_probabilities(docs: DataFrame, keep: float = KEEP, powers: dict[str, float] = POWERS, most_cells: int = MOST_CELLS) -> tuple[DataFrame, bool]:
+def cell_probabilities(docs: DataFrame, keep: float | None = KEEP, powers: dict[str, float] = POWERS, most_cells: int = MOST_CELLS) -> tuple[DataFrame, bool]:
     """source, lang, topic, tokens, weight, p for every cell; whether the table is small."""
     spark = docs.sparkSession
     counted = common.stored(cells(docs), "mix-cells")
@@ -112,14 +144,14 @@ def cell_probabilities(docs: DataFrame, keep: float = KEEP, powers: dict[str, fl
         target = _targets(dict(enumerate(np.bincount(g, tokens, minlength=len(names)).tolist())), powers[axis])
         groups.append(g)
         shares.append(np.array([target[i] for i in range(len(names))]))
-    w = rake(tokens, groups, shares)
-    c = factor(tokens, w, keep)
+    w = bounded(tokens, groups, shares) if keep is None else rake(tokens, groups, shares)
+    c = 1.0 if keep is None else factor(tokens, w, keep)
     p = np.where(tokens > 0, np.minimum(1.0, c * w / np.where(tokens > 0, tokens, 1)), 1.0)
     out = [(*(r[a] for a in AXES), r["tokens"], float(x), float(y)) for r, x, y in zip(rows, w, p, strict=True)]
     return spark.createDataFrame(out, "source string, lang string, topic string, tokens long, weight double, p double").coalesce(1), True
 
 
-def _raked_table(counted: DataFrame, keep: float, powers: dict[str, float]) -> DataFrame:
+def _raked_table(counted: DataFrame, keep: float | None, powers: dict[str, float]) -> DataFrame:
     """The same for any number of cells: marginals are aggregated and joined back, once a step."""
     total = float(counted.agg(F.sum("tokens")).first()[0] or 0)
     w = counted.withColumn("weight", F.col("tokens").cast("double"))
@@ -128,6 +160,8 @@ def _raked_table(counted: DataFrame, keep: float, powers: dict[str, float]) -> D
         t = counted.groupBy(axis).agg(F.pow(F.sum("tokens").cast("double"), F.lit(powers[axis])).alias("aim"))
         norm = t.agg(F.sum("aim")).first()[0] or 1.0
         aims[axis] = common.stored(t.select(axis, (F.col("aim") / norm * total).alias("aim")), "mix-aims")
+    if keep is None:
+        return _bounded_table(counted, aims, total)
     for _ in range(ROUNDS):
         for axis in AXES:
             now = w.groupBy(axis).agg(F.sum("weight").alias("now"))
@@ -147,13 +181,36 @@ def _raked_table(counted: DataFrame, keep: float, powers: dict[str, float]) -> D
     return w.withColumn("p", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(c) * F.col("weight") / F.col("tokens"))).otherwise(1.0))
 
 
-def _with_p(docs: DataFrame, keep: float, most_cells: int) -> DataFrame:
+def _bounded_table(counted: DataFrame, aims: dict[str, DataFrame], total: float) -> DataFrame:
+    """The steps of ``bounded`` over a table of cells; ``aims`` has each group's share of ``total``."""
+    w = counted.withColumn("weight", F.col("tokens").cast("double"))
+    if not total:
+        return w.withColumn("p", F.lit(1.0))
+    least = F.min(F.when(F.col("aim") > 0, F.col("held") / F.col("aim")))
+    keep = min(counted.groupBy(a).agg(F.sum("tokens").alias("held")).join(aims[a], a).agg(least).first()[0] for a in AXES)
+    for _ in range(TRIES):
+        w = counted.withColumn("weight", F.col("tokens") * F.lit(keep))
+        for _ in range(BOUNDED_ROUNDS):
+            off = 0.0
+            for a in AXES:
+                aim = F.col("aim") * F.lit(keep)
+                now = common.stored(w.groupBy(a).agg(F.sum("weight").alias("now")).join(aims[a], a).select(a, (F.col("now") - aim).alias("off"), F.when(F.col("now") > 0, aim / F.col("now")).otherwise(0.0).alias("scale")), "mix-scale")
+                off = max(off, now.agg(F.max(F.abs("off"))).first()[0] / (keep * total))
+                w = w.join(now, a).withColumn("weight", F.least(F.col("tokens").cast("double"), F.col("weight") * F.col("scale"))).select(*AXES, "tokens", "weight")
+            w = common.stored(w, "mix-weights")
+            if off <= NEAR:
+                return w.withColumn("p", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0))
+        keep *= STEP
+    raise ValueError("no share of the tokens has the target shares")
+
+
+def _with_p(docs: DataFrame, keep: float | None, most_cells: int) -> DataFrame:
     table, small = cell_probabilities(docs, keep, most_cells=most_cells)
     p = table.select(*[F.col(a).alias(f"__{a}") for a in AXES], F.col("p").alias("__p"))
     return _marked(docs).join(F.broadcast(p) if small else p, [f"__{a}" for a in AXES])
 
 
-def probabilities(docs: DataFrame, keep: float = KEEP, most_cells: int = MOST_CELLS) -> DataFrame:
+def probabilities(docs: DataFrame, keep: float | None = KEEP, most_cells: int = MOST_CELLS) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, p and sampled for every document."""
     rows = _with_p(docs.select("doc_id", "text", "source", "lang"), keep, most_cells)
     return rows.select(
@@ -162,6 +219,6 @@ def probabilities(docs: DataFrame, keep: float = KEEP, most_cells: int = MOST_CE
     )
 
 
-def draw(docs: DataFrame, keep: float = KEEP, most_cells: int = MOST_CELLS) -> DataFrame:
+def draw(docs: DataFrame, keep: float | None = KEEP, most_cells: int = MOST_CELLS) -> DataFrame:
     """The rows of ``docs`` that are drawn; all columns as they are."""
     return _with_p(docs, keep, most_cells).where(uniform(F.col("doc_id"), F.col("text")) < F.col("__p")).select(*[F.col(c) for c in docs.columns])

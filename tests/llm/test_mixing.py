@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pathloom.llm import mixing
 
 from .conftest import long_text
@@ -32,6 +33,40 @@ def test_factor_keeps_the_expected_share(keep):
     assert np.minimum(t, c * w).sum() == pytest.approx(keep * t.sum())
 
 
+def shares_of(table, weight):
+    """For each axis: share of ``weight`` and target share of each group."""
+    for a in mixing.AXES:
+        rows = table.groupBy(a).agg(F.sum("tokens").alias("t"), F.sum(weight).alias("w")).collect()
+        raised = [r["t"] ** mixing.POWERS[a] for r in rows]
+        yield [r["w"] / sum(r["w"] for r in rows) for r in rows], [x / sum(raised) for x in raised]
+
+
+def test_the_largest_sample_meets_each_share(docs):
+    df = corpus(docs)
+    got = {}
+    for most in (mixing.MOST_CELLS, 0):
+        table, _ = mixing.cell_probabilities(df, keep=None, most_cells=most)
+        table = table.cache()
+        for now, aim in shares_of(table, F.col("tokens") * F.col("p")):
+            assert now == pytest.approx(aim, abs=2 * mixing.NEAR)
+        got[most] = {tuple(r[a] for a in mixing.AXES): r["p"] for r in table.collect()}
+        assert all(0 <= p <= 1 for p in got[most].values())
+    small, large = got.values()
+    assert small.keys() == large.keys() and all(small[k] == pytest.approx(large[k], rel=1e-9) for k in small)
+    # Some group is near its end: a larger sample would not have its share.
+    t = mixing.cells(df).agg(F.sum("tokens")).first()[0]
+    kept = sum(r["tokens"] * small[tuple(r[a] for a in mixing.AXES)] for r in mixing.cells(df).collect())
+    assert any(a * kept > 0.8 * h for now, aim in shares_of(mixing.cells(df), F.col("tokens")) for a, h in zip(aim, [x * t for x in now], strict=True))
+
+
+def test_the_pipeline_draws_by_the_shares(docs):
+    df = corpus(docs, 3000)
+    drawn = mixing.cells(corpus_pipeline.mix_sources(df.sparkSession, df, ""))
+    aims = {a: aim for a, (_, aim) in zip(mixing.AXES, shares_of(mixing.cells(df), F.col("tokens")), strict=True)}
+    for a, (now, _) in zip(mixing.AXES, shares_of(drawn, F.col("tokens")), strict=True):
+        assert sorted(now) == pytest.approx(sorted(aims[a]), abs=0.05)
+
+
 def test_table_and_driver_agree(docs):
     df = corpus(docs)
     small, is_small = mixing.cell_probabilities(df)
