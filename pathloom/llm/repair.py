@@ -3,7 +3,7 @@
 Re-Pair replaces a frequent pair of neighbouring symbols by a new nonterminal
 and repeats this on the result.  Here each round takes all pairs above a
 frequency at once, most frequent first as far as nonterminals last, and replaces
-them from left to right in numpy.  No rule crosses the end of a document, so
+them from left to right in numpy, until no pair reaches the frequency.  No rule crosses the end of a document, so
 every document is a run of symbols of its own: with its first symbol's place and
 its token count it is decoded alone.
 
@@ -17,6 +17,7 @@ symbols; for each document u64 first symbol and u64 tokens.
 
 from __future__ import annotations
 
+import itertools
 import struct
 
 import numpy as np
@@ -28,7 +29,7 @@ _MIX = {False: np.uint32(0x9E3779B1), True: np.uint64(0x9E3779B97F4A7C15)}
 
 
 def _frequent(code: np.ndarray, none: int, least: int, most: int) -> np.ndarray:
-    """The most frequent pair codes but ``none``, in ascending order."""
+    """The most frequent pair codes but ``none``, in ascending order of frequency."""
     code = np.sort(code)
     if not len(code):
         return code
@@ -37,14 +38,15 @@ def _frequent(code: np.ndarray, none: int, least: int, most: int) -> np.ndarray:
     if code[-1] == none:
         n[-1] = 0
     keep = np.flatnonzero(n >= least)
-    if len(keep) > most:
-        order = np.argsort(-n[keep], kind="stable")[:most]
-        keep = np.sort(keep[order])
+    keep = keep[np.argsort(-n[keep], kind="stable")[:most]][::-1]
     return code[first[keep]]
 
 
-def compress(tokens: np.ndarray, lengths: np.ndarray, vocab: int, rounds: int = 3, least: int = 16) -> bytes:
-    """A shard of documents, given as one array of ids and the number of ids of each document."""
+def compress(tokens: np.ndarray, lengths: np.ndarray, vocab: int, rounds: int | None = None, least: int = 16) -> bytes:
+    """A shard of documents, given as one array of ids and the number of ids of each document.
+
+    Without ``rounds``, until no pair inside a document is met ``least`` times or symbols run out.
+    """
     wide = max(vocab, int(tokens.max()) + 1 if len(tokens) else 0) >= 1 << 16
     kind = np.uint32 if wide else np.uint16
     limit = (1 << 32) - 1 if wide else 1 << 16
@@ -62,17 +64,17 @@ def compress(tokens: np.ndarray, lengths: np.ndarray, vocab: int, rounds: int =
     # No pair: its two symbols would be the last nonterminal that there can be, which is never made.
     none = pair_kind(np.iinfo(pair_kind).max)
     limit -= 1
-    for k in range(rounds):
+    for k in itertools.count() if rounds is None else range(rounds):
         room = limit - len(size)
         if room <= 0 or len(x) < 2:
             break
         code = x[:-1].astype(pair_kind) << shift | x[1:]
         code[~inner[:-1]] = none
-        pairs = _frequent(code, none, least, room // 2 if k < rounds - 1 else room)
+        pairs = _frequent(code, none, least, room if k + 1 == rounds else -(-room // 2))
         if not len(pairs):
             break
         a, b = (pairs >> shift).astype(kind), pairs.astype(kind)
-        # Which rule stands at each place: one look into a hashed table.  Of pairs with one slot the last stays; the others wait for the next round.
+        # Which rule stands at each place: one look into a hashed table.  Of pairs with one slot the last, the most frequent, stays; the others wait for the next round.
         down = pair_kind((64 if wide else 32) - _TABLE_BITS)
         rule_at = np.zeros(1 << _TABLE_BITS, np.int32)
         rule_at[(pairs * _MIX[wide]) >> down] = np.arange(len(pairs))

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,44 @@ def test_grammar_compresses_repeats():
     assert (s.rule_size >= 2).all()
 
 
+def pairs_left(s):
+    """How often the most frequent pair of symbols inside a document is met."""
+    ends = np.append(s.where[1:, 0], len(s.symbols))
+    pairs = [tuple(p) for a, b in zip(s.where[:, 0], ends, strict=True) for p in np.column_stack([s.symbols[a : b - 1], s.symbols[a + 1 : b]]).tolist()] if len(s.symbols) else []
+    return max(Counter(pairs).values(), default=0)
+
+
+def test_the_grammar_goes_on_to_the_end():
+    rng = np.random.default_rng(3)
+    passage = rng.permutation(200).tolist()
+    parts = [[*rng.integers(0, 300, 5).tolist(), *passage, *rng.integers(0, 300, 5).tolist()] for _ in range(400)]
+    s = shard_of(parts)
+    assert s.tokens().tolist() == [x for p in parts for x in p]
+    # The passage is one symbol, or a few where its ends differ.
+    assert s.rule_size.max() > 100 and len(s.symbols) < 400 * 14
+    assert pairs_left(s) < 16
+    # With one symbol left it is given.
+    assert len(shard_of(parts, 65_534).rules) == 1
+
+
+def test_of_pairs_with_one_slot_the_most_frequent_is_a_rule():
+    slots = {}
+    for a in range(1, 1000):
+        for b in range(a + 1, 1000):
+            code = np.array([a << 16 | b], np.uint32)
+            slot = int((code * repair._MIX[False])[0] >> np.uint32(32 - repair._TABLE_BITS))
+            if slot in slots and not {a, b} & set(slots[slot]):
+                break
+            slots[slot] = (a, b)
+        else:
+            continue
+        break
+    low, high = slots[slot], (a, b)
+    for many, few in ((low, high), (high, low)):
+        s = shard_of([many] * 60 + [few] * 20, 1000, rounds=1)
+        assert s.rules.tolist() == [list(many)]
+
+
 def test_a_run_of_one_id_and_the_largest_id():
     part = [65_535] * 1001 + [7]
     s = shard_of([part, [], part], 65_536, least=2)
