@@ -13,7 +13,8 @@ candidates; the rest are verified word by word over the window.
 
 The benchmark's words and windows are sent to the executors in blocks of items
 of bounded size; a larger benchmark takes several blocks over all documents,
-whose hits are united afterwards.  Nothing is shuffled for a single block.
+which are given numbers and stored for that, and whose hits are united by number
+afterwards.  Nothing is shuffled for a single block.
 
 Defined cases: a null or empty text has no words; items with a null id or no
 word are left out; equal item ids count once; repeated rows of a document are
@@ -23,6 +24,7 @@ each reported; other columns are ignored by ``hits`` and kept by
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -220,14 +222,22 @@ def _spans(begin: np.ndarray, end: np.ndarray) -> tuple[list[int], list[int]]:
 def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, n_words, begins, ends (spans of hit words) and items (ids found) of every row of ``docs``.
 
-    With several blocks of items the rows of a key are united; ``key`` then has
-    to tell rows apart.
+    With several blocks of items what they find is united row by row, whatever
+    the keys.
     """
     kind = docs.schema[key].dataType.simpleString()
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
     schema = f"{key} {kind}, n_words long, begins array<long>, ends array<long>, items array<{item_kind}>"
     found = []
-    for rows in _blocks(benchmark):
+    blocks = _blocks(benchmark)
+    begun = list(itertools.islice(blocks, 2))
+    numbered = len(begun) > 1
+    docs = docs.select(key, "text")
+    if numbered:
+        # Stored once, so that every block meets the same numbers.
+        docs = common.stored(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam-rows")
+        schema = f"__row long, {schema}"
+    for rows in itertools.chain(begun, blocks):
         w = _prepare(docs, rows)
         sent = docs.sparkSession.sparkContext.broadcast(w or Windows({}, [], *[np.empty(0, np.int64)] * 4))
 
@@ -242,16 +252,17 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFram
                 begins[d], ends[d] = _spans(begin[a:b], begin[a:b] + w.length[win[a:b]])
                 items[d] = sorted({w.items[k] for k in np.unique(w.item[win[a:b]]).tolist()})
             longs = pa.list_(pa.int64())
-            return {key: batch.column(0), "n_words": pa.array(n_words), "begins": pa.array(begins, longs), "ends": pa.array(ends, longs), "items": pa.array(items, pa.list_(items_type))}
+            number = {"__row": batch.column(2)} if numbered else {}
+            return number | {key: batch.column(0), "n_words": pa.array(n_words), "begins": pa.array(begins, longs), "ends": pa.array(ends, longs), "items": pa.array(items, pa.list_(items_type))}
 
         items_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
-        found.append(common.map_texts(docs, [key, "text"], run, schema))
+        found.append(common.map_texts(docs, [key, "text", *["__row"] * numbered], run, schema))
     if len(found) == 1:
         return found[0]
     rows = found[0]
     for f in found[1:]:
         rows = rows.unionByName(f)
-    both = rows.groupBy(key).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"), F.flatten(F.collect_list("items")).alias("items"))
+    both = rows.groupBy("__row").agg(F.first(key).alias(key), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"), F.flatten(F.collect_list("items")).alias("items"))
     # Spans of several blocks may overlap: unite them in order.
     united = F.expr(
         "aggregate(array_sort(arrays_zip(begins, ends)), named_struct('b', cast(array() as array<bigint>), 'e', cast(array() as array<bigint>)), "

@@ -71,6 +71,14 @@ def test_several_blocks(docs, items, monkeypatch):
     assert clean == {i for i, _, n, _ in plain(rows, its) if not n}
 
 
+def test_several_blocks_report_every_row(docs, items, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 40)
+    rows = [*ROWS, (None, "four five six and more"), (None, None)]
+    its = [*ITEMS, (16, "four five six"), (17, "nine ten eleven")]
+    assert run(docs(*rows), items(*its)) == plain(rows, its)
+    assert run(docs(*rows, clash=True), items(*its)) == plain(rows, its)
+
+
 def test_the_stage_keeps_rows_as_they_are(docs, items):
     df = docs(*ROWS, clash=True)
     out = decontam.clean_only(df, items(*ITEMS))
