@@ -1,18 +1,24 @@
 """Re-Pair grammar compression of token ids, for one shard.
 
 Re-Pair replaces a frequent pair of neighbouring symbols by a new nonterminal
-and repeats this on the result.  Here each round takes all pairs above a
-frequency at once, most frequent first as far as nonterminals last, and replaces
-them from left to right in numpy, until no pair reaches the frequency.  No rule crosses the end of a document, so
-every document is a run of symbols of its own: with its first symbol's place and
-its token count it is decoded alone.
-
-Symbols are unsigned 16-bit: ids below ``vocab``, then nonterminals.  If a shard
-has larger ids, symbols take 32 bits.
-
-Shard format (little-endian): magic ``RPR1``, u32 width in bytes, vocab, rules,
+and repeats this on the result until no pair is frequent.  Here each round takes
+all pairs that are met ``least`` times, and replaces them in numpy; where two of
+them overlap the more frequent one has its way.  A pair that is not frequent never
+becomes so again, so later rounds look only at places where a rule was made or
+put off.  No rule crosses the end of a document, so every document is a run of
+symbols of its own: with its first symbol's place and its token count it is
+decoded alone.
+
+Frequent means that a rule saves bytes: n uses save n symbols and cost a rule of
+two symbols and its expansion length, so the least n that pays is ``LEAST``.
+With ``least=2`` the grammar goes on until no pair is met twice.  There may be
+any number of rules: symbols take as many bits as their number needs, 16 at
+least.
+
+Shard format (little-endian): magic ``RPR2``, u32 bits of a symbol, vocab, rules,
 symbols, documents; rules as pairs of symbols; u32 expansion length of each rule;
-symbols; for each document u64 first symbol and u64 tokens.
+symbols; for each document u64 first symbol and u64 tokens.  Symbols are stored
+as their low 16 bits and then, bit by bit, planes of one bit of each symbol.
 """
 
 from __future__ import annotations
@@ -22,89 +28,145 @@ import struct
 
 import numpy as np
 
-MAGIC = b"RPR1"
+MAGIC = b"RPR2"
+#: A symbol of 16 bits or some more; a rule of two symbols and 32 bits: four uses save what the rule costs, five save more.
+LEAST = 5
 _head = struct.Struct("<4s5I")
 _TABLE_BITS = 18
-_MIX = {False: np.uint32(0x9E3779B1), True: np.uint64(0x9E3779B97F4A7C15)}
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_HALF = np.uint64(32)
+
+
+def _doubled(twin: np.ndarray) -> np.ndarray:
+    """Every second one of ascending places in a row."""
+    order = np.arange(len(twin))
+    row = np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(twin) != 1)), order, 0))
+    return (order - row) & 1 == 1
 
 
-def _frequent(code: np.ndarray, none: int, least: int, most: int) -> np.ndarray:
-    """The most frequent pair codes but ``none``, in ascending order of frequency."""
+def _frequent(code: np.ndarray, least: int) -> np.ndarray:
+    """The pairs met ``least`` times or more, in ascending order of frequency."""
     code = np.sort(code)
     if not len(code):
         return code
     first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
     n = np.diff(np.append(first, len(code)))
-    if code[-1] == none:
-        n[-1] = 0
     keep = np.flatnonzero(n >= least)
-    keep = keep[np.argsort(-n[keep], kind="stable")[:most]][::-1]
-    return code[first[keep]]
-
-
-def compress(tokens: np.ndarray, lengths: np.ndarray, vocab: int, rounds: int | None = None, least: int = 16) -> bytes:
+    return code[first[keep[np.argsort(n[keep], kind="stable")]]]
+
+
+def _winners(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the hits (ascending places) are replaced: no two next to each other, the more frequent before the other."""
+    won = np.zeros(len(at), bool)
+    left = np.arange(len(at))
+    while len(left):
+        place, r = at[left], rank[left]
+        near = np.diff(place) == 1
+        # Ties go to the left one.
+        beaten = np.zeros(len(left), bool)
+        beaten[1:] |= near & (r[:-1] >= r[1:])
+        beaten[:-1] |= near & (r[1:] > r[:-1])
+        won[left[~beaten]] = True
+        gone = ~beaten
+        gone[1:] |= near & ~beaten[:-1]
+        gone[:-1] |= near & ~beaten[1:]
+        left = left[~gone]
+    return won
+
+
+def _packed(symbols: np.ndarray, bits: int) -> bytes:
+    parts = [symbols.astype("<u2").tobytes()]
+    parts += [np.packbits((symbols >> np.uint32(k) & np.uint32(1)).astype(bool)).tobytes() for k in range(16, bits)]
+    return b"".join(parts)
+
+
+def _unpacked(data: bytes, at: int, n: int, bits: int) -> tuple[np.ndarray, int]:
+    """``n`` symbols and where they end."""
+    out = np.frombuffer(data, "<u2", n, at).astype(np.uint32)
+    at += 2 * n
+    for k in range(16, bits):
+        plane = np.frombuffer(data, np.uint8, -(-n // 8), at)
+        out |= np.unpackbits(plane, count=n).astype(np.uint32) << np.uint32(k)
+        at += len(plane)
+    return out, at
+
+
+def compress(tokens: np.ndarray, lengths: np.ndarray, vocab: int, rounds: int | None = None, least: int = LEAST) -> bytes:
     """A shard of documents, given as one array of ids and the number of ids of each document.
 
-    Without ``rounds``, until no pair inside a document is met ``least`` times or symbols run out.
+    Without ``rounds``, until no pair inside a document is met ``least`` times.
     """
-    wide = max(vocab, int(tokens.max()) + 1 if len(tokens) else 0) >= 1 << 16
-    kind = np.uint32 if wide else np.uint16
-    limit = (1 << 32) - 1 if wide else 1 << 16
     vocab = max(vocab, int(tokens.max()) + 1 if len(tokens) else 0)
-    x = tokens.astype(kind)
+    x = tokens.astype(np.uint32)
     # False at the last symbol of each document.
     inner = np.ones(len(x), bool)
     ends = np.cumsum(lengths, dtype=np.int64)
     inner[ends[lengths > 0] - 1] = False
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
+    made: list[np.ndarray] = []
     size = np.ones(vocab, np.int64)
-    pair_kind = np.uint64 if wide else np.uint32
-    shift = pair_kind(32 if wide else 16)
-    # No pair: its two symbols would be the last nonterminal that there can be, which is never made.
-    none = pair_kind(np.iinfo(pair_kind).max)
-    limit -= 1
-    for k in itertools.count() if rounds is None else range(rounds):
-        room = limit - len(size)
-        if room <= 0 or len(x) < 2:
-            break
-        code = x[:-1].astype(pair_kind) << shift | x[1:]
-        code[~inner[:-1]] = none
-        pairs = _frequent(code, none, least, room if k + 1 == rounds else -(-room // 2))
+    #: Places where a pair begins that may be frequent.
+    alive = inner.copy()
+    most: int | None = None
+    for _ in itertools.count() if rounds is None else range(rounds):
+        place = np.flatnonzero(alive & inner)
+        code = x[place].astype(np.uint64) << _HALF | x[place + 1]
+        # In a row of one symbol every second pair counts.
+        free = np.ones(len(place), bool)
+        twin = np.flatnonzero(x[place] == x[place + 1])
+        if len(twin):
+            free[twin[_doubled(place[twin])]] = False
+        pairs = _frequent(code[free], least)
         if not len(pairs):
             break
-        a, b = (pairs >> shift).astype(kind), pairs.astype(kind)
+        if most:
+            pairs = pairs[-most:]
         # Which rule stands at each place: one look into a hashed table.  Of pairs with one slot the last, the most frequent, stays; the others wait for the next round.
-        down = pair_kind((64 if wide else 32) - _TABLE_BITS)
-        rule_at = np.zeros(1 << _TABLE_BITS, np.int32)
-        rule_at[(pairs * _MIX[wide]) >> down] = np.arange(len(pairs))
-        rule = rule_at[(code * _MIX[wide]) >> down]
-        at = np.flatnonzero(pairs[rule] == code)
-        # In a row of overlapping hits, every second one from the left is replaced.
-        order = np.arange(len(at))
-        row = np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(at) != 1)), order, 0))
-        at = at[(order - row) & 1 == 0]
-        rule = rule[at]
-        used = np.flatnonzero(np.bincount(rule, minlength=len(pairs)))
-        number = np.zeros(len(pairs), kind)
+        down = np.uint64(64 - _TABLE_BITS)
+        rule_at = np.full(1 << _TABLE_BITS, -1, np.int32)
+        rule_at[(pairs * _MIX) >> down] = np.arange(len(pairs))
+        rule = rule_at[(code * _MIX) >> down]
+        wait = place[rule >= 0]
+        hit = np.flatnonzero((rule >= 0) & (pairs[rule] == code) & free)
+        at, rule = place[hit], rule[hit]
+        won = _winners(at, rule)
+        # Overlaps may leave a pair fewer uses than it takes; it may have enough again later.
+        uses = np.bincount(rule[won], minlength=len(pairs))
+        won &= uses[rule] >= least
+        used = np.flatnonzero(uses >= least)
+        if not len(used):
+            # The most frequent pair: without rivals it keeps all its uses.
+            most = 1
+            continue
+        if not most:
+            alive[:] = False
+            alive[wait] = True
+        most = None
+        at, rule = at[won], rule[won]
+        number = np.zeros(len(pairs), np.uint32)
         number[used] = np.arange(len(size), len(size) + len(used))
+        new = np.column_stack([pairs[used] >> _HALF, pairs[used] & np.uint64(0xFFFFFFFF)]).astype(np.uint32)
+        made.append(new)
+        size = np.append(size, size[new].sum(axis=1))
         x[at] = number[rule]
         inner[at] = inner[at + 1]
+        alive[at] = True
+        before = at[at > 0] - 1
+        alive[before] = True
         keep = np.ones(len(x), bool)
         keep[at + 1] = False
-        left.append(a[used])
-        right.append(b[used])
-        size = np.append(size, size[a[used]] + size[b[used]])
-        x, inner = x[keep], inner[keep]
-    rules = np.column_stack([np.concatenate(left), np.concatenate(right)]) if left else np.empty((0, 2), kind)
+        # The symbol before may be one that goes; then the one before that is next to the new symbol.
+        lost = before[~keep[before]]
+        alive[lost - 1] = True
+        x, inner, alive = x[keep], inner[keep], alive[keep]
+    rules = np.concatenate(made) if made else np.empty((0, 2), np.uint32)
     # Documents without ids have no symbol.
     last = np.flatnonzero(~inner)
     counts = np.zeros(len(lengths), np.int64)
     counts[lengths > 0] = np.diff(np.append(-1, last))
     where = np.column_stack([np.cumsum(counts) - counts, lengths]).astype("<u8")
+    bits = max(16, (len(size) - 1).bit_length())
     return b"".join((
-        _head.pack(MAGIC, np.dtype(kind).itemsize, vocab, len(rules), len(x), len(lengths)),
-        rules.astype(np.dtype(kind).newbyteorder("<")).tobytes(), size[vocab:].astype("<u4").tobytes(), x.astype(np.dtype(kind).newbyteorder("<")).tobytes(), where.tobytes(),
+        _head.pack(MAGIC, bits, vocab, len(rules), len(x), len(lengths)), _packed(rules.ravel(), bits), size[vocab:].astype("<u4").tobytes(), _packed(x, bits), where.tobytes(),
     ))
 
 
@@ -112,17 +174,13 @@ class Shard:
     """Reads a shard: all of it or one document."""
 
     def __init__(self, data: bytes):
-        magic, width, self.vocab, rules, symbols, docs = _head.unpack_from(data)
+        magic, bits, self.vocab, rules, symbols, docs = _head.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("no shard of token ids")
-        kind = {2: "<u2", 4: "<u4"}[width]
-        at = _head.size
-        self.rules = np.frombuffer(data, kind, 2 * rules, at).reshape(rules, 2)
-        at += self.rules.nbytes
+        flat, at = _unpacked(data, _head.size, 2 * rules, bits)
+        self.rules = flat.reshape(rules, 2)
         self.rule_size = np.frombuffer(data, "<u4", rules, at)
-        at += self.rule_size.nbytes
-        self.symbols = np.frombuffer(data, kind, symbols, at)
-        at += self.symbols.nbytes
+        self.symbols, at = _unpacked(data, at + self.rule_size.nbytes, symbols, bits)
         self.where = np.frombuffer(data, "<u8", 2 * docs, at).reshape(docs, 2).astype(np.int64)
         if at + self.where.nbytes != len(data):
             raise ValueError("shard of the wrong length")

@@ -8,19 +8,24 @@ write and read them.  The place of a document among all ids is its place in the
 shard plus the tokens of the shards before: one number for each shard, summed on
 the cluster.
 
-Tokenizing.  The byte-level BPE never joins the two sides of a space that stands
-between two other characters: what follows such a space is encoded as it would
-be alone.  Pieces between these spaces are therefore looked up in a bounded
-table, and only new pieces go through the tokenizer, many in one call.
-
-Defined cases: a null text is an empty one and gives the end id only; special
-token strings in a text are ordinary text; rows with a null doc_id come first,
-equal ids are ordered by text; an empty table gives no shard; other columns are
-ignored.
+Tokenizing gives the ids of the plain call of the library on the whole text.  A
+byte-level BPE never joins the two sides of a space that stands between two other
+characters: what follows such a space is encoded as it would be alone.  Pieces
+between these spaces are therefore looked up in a bounded table, and only new
+pieces go through the tokenizer, many in one call.  Texts that hold one of the
+vocabulary's own added strings go through whole, and so does every text if the
+tokenizer's steps are not those that this rests on (``cuts_at_spaces``).
+
+Defined cases: a null text is an empty one and gives the end id only; strings
+that the tokenizer takes for special tokens become those tokens, as in the plain
+call; rows with a null doc_id come first, equal ids and repeated rows are ordered
+by text; very long texts are encoded whole, one at a time; an empty table gives no
+shard; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -63,6 +68,19 @@ class _Table(dict):
         self.asked[piece] = None
 
 
+def cuts_at_spaces(steps: dict) -> bool:
+    """Whether the steps of a tokenizer (its file) let pieces between spaces be encoded apart.
+
+    So it is for a byte-level BPE with the usual pattern and nothing before or after it.
+    """
+    first, model = steps.get("pre_tokenizer") or {}, steps["model"]
+    return (
+        first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space", True)
+        and model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        and not any(steps.get(k) for k in ("normalizer", "truncation", "padding")) and not any(_white.search(t["content"]) for t in steps.get("added_tokens") or ())
+    )
+
+
 class Encoder:
     """Ids of texts as bytes (unsigned 16-bit, or 32-bit for larger vocabularies)."""
 
@@ -70,7 +88,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        steps = json.loads(self.tokenizer.to_str())
+        self.pieces = cuts_at_spaces(steps)
+        #: Strings that the tokenizer finds before all its steps.
+        self.added = [t["content"] for t in steps.get("added_tokens") or () if t["content"]]
         self.vocab = self.tokenizer.get_vocab_size()
         self.kind = np.uint16 if self.vocab <= 1 << 16 else np.uint32
         self.newline = self.ids("\n")
@@ -84,6 +105,11 @@ class Encoder:
         # Not a piece of its own: white space belongs to the run before it.
         self.known[""] = ODD
 
+    def _whole(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        tail = [] if end_id is None else [end_id]
+        parts = [np.array([*e.ids, *tail], self.kind) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return np.concatenate(parts) if parts else np.empty(0, self.kind), np.fromiter(map(len, parts), np.int64, len(parts))
+
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
@@ -168,6 +194,8 @@ class Encoder:
         piece is looked up once; the ids are then gathered in numpy.
         """
         texts = pc.fill_null(texts, "")
+        if not self.pieces:
+            return self._whole(texts, end_id)
         n_texts = len(texts)
         cut = pc.split_pattern(texts, " ")
         flat = cut.flatten()
@@ -206,12 +234,17 @@ class Encoder:
         index += np.repeat(start[code] - (ends - n), n)
         out, upto = ids[index], ends[closing]
         lengths = np.diff(upto, prepend=0)
+        strange = np.zeros(n_texts, bool)
+        for t in self.added:
+            strange |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
         if odd.any():
-            # White space beside a space: those texts go through whole.
-            strange = np.unique(np.searchsorted(closing, np.flatnonzero(np.append(odd, np.zeros(len(values) - len(odd), bool))[code])))
+            # White space beside a space.
+            strange[np.searchsorted(closing, np.flatnonzero(np.append(odd, np.zeros(len(values) - len(odd), bool))[code]))] = True
+        if strange.any():
+            # Those texts go through whole.
             parts = np.split(out, upto[:-1])
             tail = [] if end_id is None else [end_id]
-            for k in strange.tolist():
+            for k in np.flatnonzero(strange).tolist():
                 parts[k] = np.append(self.ids(texts[k].as_py()), np.array(tail, self.kind))
             out, lengths = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, n_texts)
         return out, lengths

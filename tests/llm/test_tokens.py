@@ -1,3 +1,4 @@
+import json
 import zlib
 from collections import Counter
 
@@ -6,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from pathloom.llm import queries, repair, tokenids
 
@@ -14,20 +16,24 @@ from .conftest import ODD, long_text
 PATH = queries.tokenizer_path()
 
 
+#: Nothing set on it: what the plain call gives.
+UNTOUCHED = Tokenizer.from_file(PATH)
+
+
 @pytest.fixture(scope="module")
 def enc():
     return tokenids.encoder(PATH)
 
 
-def check(enc, texts):
+def check(enc, texts, tokenizer=UNTOUCHED):
     got, n = enc.encode(pa.array(texts, pa.string()), 0)
     for part, t in zip(np.split(got, np.cumsum(n)[:-1]), texts, strict=True):
         assert part[-1] == 0
-        assert part[:-1].tolist() == enc.tokenizer.encode(t or "", add_special_tokens=False).ids, repr(t)
+        assert part[:-1].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
 STRANGE = [
-    "a  b", " x", "x ", "\n \n a", "a \x1c b", "a\x85 b 　 c", "", "  ", None, "don't 's it's  's", "a <|endoftext|> b", "x\n y", "​a​ b", "é 12 3 $$ $$%", "tab\t x \t y", " \xa0 x",
+    "a  b", " x", "x ", "\n \n a", "a \x1c b", "a\x85 b 　 c", "", "  ", None, "don't 's it's  's", "a <|endoftext|> b", "a<|endoftext|>b", "<|endoftext|>", "<|endoftext|> <|endoftext|>\nx <|endoftex", "x\n y", "​a​ b", "é 12 3 $$ $$%", "tab\t x \t y", " \xa0 x",
     "é’s l’été a_b. x’s a's. _x áb. ²x x² a.b.c! x..\n y\nz. q\n\nr s\n", ". a", ".\nb c", "x_ y__z _a_ b-c. -d- e.... f! g?! h%%% i### (j) [k].", "no spaces" * 50, "日本語 のテキスト。 と", "1,000.5% of 'it'",
 ]
 
@@ -50,6 +56,18 @@ def test_a_full_table(enc, monkeypatch):
         check(fresh, [long_text(60, seed), long_text(60, seed)])
 
 
+def test_another_tokenizer_gives_its_own_ids(tmp_path):
+    steps = json.loads(UNTOUCHED.to_str())
+    assert tokenids.cuts_at_spaces(steps)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        (path := tmp_path / "t.json").write_text(json.dumps(steps | change))
+        assert not tokenids.cuts_at_spaces(steps | change)
+        other = Tokenizer.from_file(str(path))
+        texts = [*STRANGE, "Some WORDS here", "x  y"]
+        check(tokenids.Encoder(str(path)), texts, other)
+        assert any(other.encode(t or "").ids != UNTOUCHED.encode(t or "").ids for t in texts)
+
+
 def shard_of(parts, vocab=300, **more):
     x = np.concatenate([np.array(p, np.uint32) for p in parts]) if parts else np.empty(0, np.uint32)
     return repair.Shard(repair.compress(x, np.array([len(p) for p in parts], np.int64), vocab, **more))
@@ -72,31 +90,56 @@ def test_grammar_compresses_repeats():
 
 
 def pairs_left(s):
-    """How often the most frequent pair of symbols inside a document is met."""
-    ends = np.append(s.where[1:, 0], len(s.symbols))
-    pairs = [tuple(p) for a, b in zip(s.where[:, 0], ends, strict=True) for p in np.column_stack([s.symbols[a : b - 1], s.symbols[a + 1 : b]]).tolist()] if len(s.symbols) else []
-    return max(Counter(pairs).values(), default=0)
+    """How often the most frequent pair of symbols is met inside documents, hits that overlap not counted."""
+    ends = np.append(s.where[1:, 0], len(s.symbols))[: len(s.where)]
+    seen = Counter()
+    for a, b in zip(s.where[:, 0].tolist(), ends.tolist(), strict=True):
+        last = None
+        for k in range(a, b - 1):
+            pair = (int(s.symbols[k]), int(s.symbols[k + 1]))
+            if last == (k - 1, pair):  # the second of a, a, a
+                last = None
+                continue
+            last = (k, pair)
+            seen[pair] += 1
+    return max(seen.values(), default=0)
+
+
+@given(st.lists(st.lists(st.integers(0, 3), max_size=80), max_size=6), st.integers(2, 6))
+@settings(max_examples=200, deadline=None)
+def test_no_frequent_pair_is_left(parts, least):
+    s = shard_of(parts, 10, least=least)
+    assert s.tokens().tolist() == [x for p in parts for x in p]
+    assert pairs_left(s) < least
 
 
 def test_the_grammar_goes_on_to_the_end():
     rng = np.random.default_rng(3)
     passage = rng.permutation(200).tolist()
     parts = [[*rng.integers(0, 300, 5).tolist(), *passage, *rng.integers(0, 300, 5).tolist()] for _ in range(400)]
-    s = shard_of(parts)
-    assert s.tokens().tolist() == [x for p in parts for x in p]
-    # The passage is one symbol, or a few where its ends differ.
-    assert s.rule_size.max() > 100 and len(s.symbols) < 400 * 14
-    assert pairs_left(s) < 16
-    # With one symbol left it is given.
-    assert len(shard_of(parts, 65_534).rules) == 1
+    for least in (2, repair.LEAST):
+        s = shard_of(parts, least=least)
+        assert s.tokens().tolist() == [x for p in parts for x in p]
+        # The passage is one symbol, or a few where its ends differ.
+        assert s.rule_size.max() > 100 and len(s.symbols) < 400 * 14
+        assert pairs_left(s) < least
+
+
+@pytest.mark.parametrize("vocab", [65_000, 65_534, 65_536, 200_000])
+def test_rules_beyond_16_bits(vocab):
+    """As many rules as without that bound, in symbols of a few bits more."""
+    rng = np.random.default_rng(4)
+    parts = [rng.integers(0, 60, 500).tolist() for _ in range(60)]
+    few, many = shard_of(parts, 60, least=2), shard_of(parts, vocab, least=2)
+    assert len(many.rules) == len(few.rules) > 2000 and len(many.symbols) == len(few.symbols) and pairs_left(many) < 2
+    assert many.tokens().tolist() == [x for p in parts for x in p] and many.tokens(7).tolist() == parts[7]
 
 
-def test_of_pairs_with_one_slot_the_most_frequent_is_a_rule():
+def test_of_pairs_with_one_slot_the_less_frequent_waits():
     slots = {}
     for a in range(1, 1000):
         for b in range(a + 1, 1000):
-            code = np.array([a << 16 | b], np.uint32)
-            slot = int((code * repair._MIX[False])[0] >> np.uint32(32 - repair._TABLE_BITS))
+            slot = int((np.array([a << 32 | b], np.uint64) * repair._MIX)[0] >> np.uint64(64 - repair._TABLE_BITS))
             if slot in slots and not {a, b} & set(slots[slot]):
                 break
             slots[slot] = (a, b)
@@ -105,8 +148,8 @@ def test_of_pairs_with_one_slot_the_most_frequent_is_a_rule():
         break
     low, high = slots[slot], (a, b)
     for many, few in ((low, high), (high, low)):
-        s = shard_of([many] * 60 + [few] * 20, 1000, rounds=1)
-        assert s.rules.tolist() == [list(many)]
+        assert shard_of([many] * 60 + [few] * 20, 1000, rounds=1).rules.tolist() == [list(many)]
+        assert shard_of([many] * 60 + [few] * 20, 1000).rules.tolist() == [list(many), list(few)]
 
 
 def test_a_run_of_one_id_and_the_largest_id():
