@@ -37,13 +37,33 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _HALF = np.uint64(32)
 
 
-def _doubled(twin: np.ndarray) -> np.ndarray:
-    """Every second one of ascending places in a row."""
-    order = np.arange(len(twin))
-    row = np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(twin) != 1)), order, 0))
+def _doubled(near: np.ndarray) -> np.ndarray:
+    """Every second one of some places in a row; ``near`` tells for all but the last whether the next one follows."""
+    order = np.arange(len(near) + 1)
+    row = np.maximum.accumulate(np.where(np.concatenate(([True], ~near)), order, 0))
     return (order - row) & 1 == 1
 
 
+def _after(place: np.ndarray, dead: np.ndarray) -> np.ndarray:
+    """The next symbol that is there."""
+    to = place + 1
+    gone = np.flatnonzero(dead[to])
+    while len(gone):
+        to[gone] += 1
+        gone = gone[dead[to[gone]]]
+    return to
+
+
+def _before(place: np.ndarray, dead: np.ndarray) -> np.ndarray:
+    """The symbol before that is there, where there is one."""
+    to = place - 1
+    gone = np.flatnonzero((to >= 0) & dead[to])
+    while len(gone):
+        to[gone] -= 1
+        gone = gone[(to[gone] >= 0) & dead[to[gone]]]
+    return to[to >= 0]
+
+
 def _frequent(code: np.ndarray, least: int) -> np.ndarray:
     """The pairs met ``least`` times or more, in ascending order of frequency."""
     code = np.sort(code)
@@ -55,22 +75,26 @@ def _frequent(code: np.ndarray, least: int) -> np.ndarray:
     return code[first[keep[np.argsort(n[keep], kind="stable")]]]
 
 
-def _winners(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Which of the hits (ascending places) are replaced: no two next to each other, the more frequent before the other."""
-    won = np.zeros(len(at), bool)
-    left = np.arange(len(at))
+def _winners(near: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the hits are replaced: no two that overlap (``near``: with the next one), the more frequent before the other."""
+    won = np.zeros(len(rank), bool)
+    left = np.arange(len(rank), dtype=np.int32)
+    near = np.append(near, False)
     while len(left):
-        place, r = at[left], rank[left]
-        near = np.diff(place) == 1
         # Ties go to the left one.
-        beaten = np.zeros(len(left), bool)
-        beaten[1:] |= near & (r[:-1] >= r[1:])
-        beaten[:-1] |= near & (r[1:] > r[:-1])
-        won[left[~beaten]] = True
-        gone = ~beaten
-        gone[1:] |= near & ~beaten[:-1]
-        gone[:-1] |= near & ~beaten[1:]
-        left = left[~gone]
+        first = rank[:-1] >= rank[1:]
+        over = near[:-1]
+        best = np.ones(len(left), bool)
+        best[1:] &= ~(over & first)
+        best[:-1] &= first | ~over
+        won[left[best]] = True
+        rest = ~best
+        rest[1:] &= ~(over & best[:-1])
+        rest[:-1] &= ~(over & best[1:])
+        rest = np.flatnonzero(rest)
+        # Who follows whom among the rest: only direct neighbours still overlap.
+        near = near[rest] & np.append(np.diff(rest) == 1, False)
+        left, rank = left[rest], rank[rest]
     return won
 
 
@@ -98,69 +122,74 @@ def compress(tokens: np.ndarray, lengths: np.ndarray, vocab: int, rounds: int |
     """
     vocab = max(vocab, int(tokens.max()) + 1 if len(tokens) else 0)
     x = tokens.astype(np.uint32)
-    # False at the last symbol of each document.
-    inner = np.ones(len(x), bool)
-    ends = np.cumsum(lengths, dtype=np.int64)
-    inner[ends[lengths > 0] - 1] = False
+    # The last symbol of each document.
+    end = np.zeros(len(x), bool)
+    end[np.cumsum(lengths, dtype=np.int64)[lengths > 0] - 1] = True
+    #: Symbols that went into the one before.
+    dead = np.zeros(len(x), bool)
+    holes = 0
     made: list[np.ndarray] = []
     size = np.ones(vocab, np.int64)
-    #: Places where a pair begins that may be frequent.
-    alive = inner.copy()
-    most: int | None = None
+    #: Where a pair begins that may be frequent, and its second symbol.
+    place = np.flatnonzero(~end)
+    to = place + 1
+    alone = False
     for _ in itertools.count() if rounds is None else range(rounds):
-        place = np.flatnonzero(alive & inner)
-        code = x[place].astype(np.uint64) << _HALF | x[place + 1]
+        a, b = x[place], x[to]
+        code = a.astype(np.uint64) << _HALF | b
         # In a row of one symbol every second pair counts.
         free = np.ones(len(place), bool)
-        twin = np.flatnonzero(x[place] == x[place + 1])
+        twin = np.flatnonzero(a == b)
         if len(twin):
-            free[twin[_doubled(place[twin])]] = False
+            free[twin[_doubled(to[twin[:-1]] == place[twin[1:]])]] = False
         pairs = _frequent(code[free], least)
         if not len(pairs):
             break
-        if most:
-            pairs = pairs[-most:]
+        if alone:
+            pairs = pairs[-1:]
         # Which rule stands at each place: one look into a hashed table.  Of pairs with one slot the last, the most frequent, stays; the others wait for the next round.
         down = np.uint64(64 - _TABLE_BITS)
         rule_at = np.full(1 << _TABLE_BITS, -1, np.int32)
         rule_at[(pairs * _MIX) >> down] = np.arange(len(pairs))
         rule = rule_at[(code * _MIX) >> down]
-        wait = place[rule >= 0]
-        hit = np.flatnonzero((rule >= 0) & (pairs[rule] == code) & free)
-        at, rule = place[hit], rule[hit]
-        won = _winners(at, rule)
+        wait = np.flatnonzero(rule >= 0)
+        hit = wait[(pairs[rule[wait]] == code[wait]) & free[wait]]
+        at, goes, rule = place[hit], to[hit], rule[hit]
+        won = _winners(goes[:-1] == at[1:], rule)
         # Overlaps may leave a pair fewer uses than it takes; it may have enough again later.
         uses = np.bincount(rule[won], minlength=len(pairs))
-        won &= uses[rule] >= least
         used = np.flatnonzero(uses >= least)
         if not len(used):
             # The most frequent pair: without rivals it keeps all its uses.
-            most = 1
+            alone = True
             continue
-        if not most:
-            alive[:] = False
-            alive[wait] = True
-        most = None
-        at, rule = at[won], rule[won]
+        won = np.flatnonzero(won & (uses[rule] >= least))
+        at, goes, rule = at[won], goes[won], rule[won]
         number = np.zeros(len(pairs), np.uint32)
         number[used] = np.arange(len(size), len(size) + len(used))
         new = np.column_stack([pairs[used] >> _HALF, pairs[used] & np.uint64(0xFFFFFFFF)]).astype(np.uint32)
         made.append(new)
         size = np.append(size, size[new].sum(axis=1))
         x[at] = number[rule]
-        inner[at] = inner[at + 1]
-        alive[at] = True
-        before = at[at > 0] - 1
-        alive[before] = True
-        keep = np.ones(len(x), bool)
-        keep[at + 1] = False
-        # The symbol before may be one that goes; then the one before that is next to the new symbol.
-        lost = before[~keep[before]]
-        alive[lost - 1] = True
-        x, inner, alive = x[keep], inner[keep], alive[keep]
+        end[at] = end[goes]
+        dead[goes] = True
+        holes += len(goes)
+        open_ = np.zeros(len(x), bool)
+        open_[place if alone else place[wait]] = True
+        open_[at] = True
+        open_[_before(at, dead)] = True
+        open_ &= ~(dead | end)
+        alone = False
+        if 4 * holes > len(x):
+            stay = np.flatnonzero(~dead)
+            x, end, open_ = x[stay], end[stay], open_[stay]
+            dead, holes = np.zeros(len(x), bool), 0
+        place = np.flatnonzero(open_)
+        to = _after(place, dead)
+    x, end = x[~dead], end[~dead]
     rules = np.concatenate(made) if made else np.empty((0, 2), np.uint32)
     # Documents without ids have no symbol.
-    last = np.flatnonzero(~inner)
+    last = np.flatnonzero(end)
     counts = np.zeros(len(lengths), np.int64)
     counts[lengths > 0] = np.diff(np.append(-1, last))
     where = np.column_stack([np.cumsum(counts) - counts, lengths]).astype("<u8")
