@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from pathloom.llm import decontam
@@ -64,11 +65,49 @@ def test_random_texts(docs, items):
 
 def test_several_blocks(docs, items, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 40)
-    rows = [r for r in dict.fromkeys(ROWS) if r[0] is not None]
     its = [*ITEMS, (16, "four five six"), (17, "nine ten eleven")]
+    assert run(docs(*ROWS), items(*its)) == plain(ROWS, its)
+    clean = sorted(str(r["doc_id"]) for r in decontam.clean_only(docs(*ROWS), items(*its)).collect())
+    assert clean == sorted(str(i) for i, _, n, _ in plain(ROWS, its) if not n)
+
+
+@pytest.mark.parametrize("block", [60, 8 << 20])
+def test_long_texts_and_items(docs, items, monkeypatch, block):
+    """Texts over many pieces, an item longer than a block, a word longer than a piece."""
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontam, "_PIECE", 64)
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(300)]
+    item = [rng.choice(vocabulary) for _ in range(40)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(400)) + " " + " ".join(item[i : i + 14])) for i in range(20)]
+    rows += [(50, "x" * 500 + " " + " ".join(item[:9])), (51, "Y" * 500 + " y " + "  ".join(item)), (52, ("z" * 70 + " ") * 11)]
+    its = [(1, " ".join(item)), (2, "y" * 500), (3, " ".join(["z" * 70] * 10))]
     assert run(docs(*rows), items(*its)) == plain(rows, its)
-    clean = {r["doc_id"] for r in decontam.clean_only(docs(*rows), items(*its)).collect()}
-    assert clean == {i for i, _, n, _ in plain(rows, its) if not n}
+
+
+def test_a_large_vocabulary(docs, items):
+    """Two million different words in one item."""
+    text = " ".join(f"{k:x}" for k in range(2_000_000))
+    rows = [(1, " ".join(f"{k:x}" for k in range(1_999_980, 2_000_000))), (2, "ffffe 1 2"), (3, text)]
+    got = {r["doc_id"]: r for r in decontam.report(decontam.hits(docs(*rows), items((7, text)))).collect()}
+    assert (got[1]["n_hit"], got[2]["n_hit"], got[3]["n_hit"]) == (20, 0, 2_000_000)
+
+
+@pytest.mark.parametrize("kind", ["smallint", "string", "date", "decimal(10,0)"])
+def test_item_ids_of_any_type(docs, items, kind):
+    named = items(*ITEMS).selectExpr(f"cast({'date_add(date 2020-01-01, cast(item_id as int))'.replace('2020-01-01', chr(39) + '2020-01-01' + chr(39)) if kind == 'date' else 'item_id'} as {kind}) as item_id", "text")
+    got = {(r["doc_id"], r["n_items"]) for r in decontam.report(decontam.hits(docs(*ROWS), named)).collect()}
+    assert got == {(i, len(found)) for i, _, _, found in plain(ROWS, ITEMS)}
+
+
+def test_equal_hashes_are_no_match(docs, items, monkeypatch):
+    """The words themselves decide: with hashes that are all equal, results stay the same."""
+    monkeypatch.setattr(decontam, "_stirred", lambda h: h * np.uint64(0) + np.uint64(5))
+    rows = [r for r in ROWS if r[0] is not None]
+    t = decontam._windows([(i, t.encode()) for i, t in ITEMS if i and t], {n: np.zeros(1 << decontam.RARITY_BITS, np.int64) for n in (1, 2, 3)})
+    _, doc, _, win = decontam._find(t, [t and t.encode() for _, t in rows])
+    got = [sorted(t.items_of(win[doc == d])) if (doc == d).any() else [] for d in range(len(rows))]
+    assert got == [next(f for i, n, _, f in plain([r], ITEMS)) for r in rows]
 
 
 def test_several_blocks_report_every_row(docs, items, monkeypatch):
