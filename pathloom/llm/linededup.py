@@ -5,26 +5,32 @@ lower case; keys of at least ``MIN_CHARS`` code points count.  Keys are held as
 128-bit hashes.  State, all on shared storage:
 
 ``refs``     one row for each (key, document): the exact references
-``counts``   for each key its number of references and its least document
+``counts``   for each key the number of documents that hold it and the least of them
 ``filters``  for each shard of keys a cuckoo filter over the keys that several
              documents hold
 
-``insert`` adds documents and ``delete`` takes them away: counts of the keys
-concerned are made anew from the references, and a key enters a shard's filter
-when it comes to be shared and leaves it when it no longer is.  After a deletion
-the state is that of never having inserted, so lines come back.
+``insert`` adds the counts of new documents to those there are, ``delete`` takes
+counts away; only where the least document of a key goes is the next one looked up
+among the references.  A key enters its shard's filter when its count reaches two
+and leaves it when the count falls below.  After a deletion the state is that of
+never having inserted, so lines come back.
 
-``dedup`` asks the filters first, which turns away nearly all lines that nobody
-shares, and then the exact counts, which decide.  Filters go to the executors
-only while they take at most ``FILTER_BYTES`` together; beyond that the exact
-join does it alone.
+``dedup`` asks the filters first, which turns away nearly all references to lines
+that nobody shares, and then the exact counts, which decide.  No filter is sent to
+all executors: references and filters are dealt out by shard and meet there, one
+filter in memory at a time.
 
-Hot lines: counts are combined before the shuffle, and the join with the counts
-has stored tables on both sides, so that adaptive execution can split it.
+Hot lines: counts are combined before the shuffle; a shard with more than
+``PART_REFS`` references is split, with a copy of its filter for each part; the
+join with the counts has stored tables on both sides, so that adaptive execution
+can split it.
 
 Defined cases: a null or empty text is one empty line; rows with a null doc_id
-keep all lines and hold none; repeated rows of a document are the same document;
-other columns are ignored.
+keep all lines and hold none; repeated rows of a document are the same document,
+and rows of one id with different texts hold the lines of all of them; ids may be
+of any type that has an order; a very long text is one row of work, read as a
+whole; an empty table gives no row; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -43,7 +49,8 @@ from . import common
 MIN_CHARS = 10
 #: Keys a filter shard is made for.
 SHARD_KEYS = 1 << 16
-FILTER_BYTES = 64 << 20
+#: References that meet a copy of their shard's filter in one piece.
+PART_REFS = 1 << 18
 _SPACE = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SLOTS = 4
@@ -148,27 +155,35 @@ def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def references(docs: DataFrame) -> DataFrame:
-    """h1, h2, doc_id: the keys of each document, each once for a row."""
+    """h1, h2, doc_id: the keys of each row's text, each once for a row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batch):
-        ids, digests, counts = [], [], []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            if i is None or not text:
+        rows, digests, counts = [], [], []
+        for k, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+            if not text or not batch.column(0)[k].is_valid:
                 continue
             keys = set(line_keys(text))
             keys.discard(b"")
             digests += map(key_hash, keys)
-            ids.append(i)
+            rows.append(k)
             counts.append(len(keys))
         h1, h2 = _halves(digests)
-        return {"h1": pa.array(h1), "h2": pa.array(h2), "doc_id": pa.array(np.repeat(np.array(ids, np.int64), counts))}
+        return {"h1": pa.array(h1), "h2": pa.array(h2), "doc_id": batch.column(0).take(pa.array(np.repeat(np.array(rows, np.int64), counts)))}
+
+    return common.map_texts(docs, ["doc_id", "text"], run, f"h1 long, h2 long, doc_id {kind}")
 
-    return common.map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id", "text"], run, "h1 long, h2 long, doc_id long")
 
+def _once(refs: DataFrame, docs: DataFrame) -> DataFrame:
+    """``refs`` with each (key, document) once: only ids of several rows can repeat one."""
+    several = common.stored(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "line-repeated-ids")
+    if several.isEmpty():
+        return refs
+    once = refs.join(several, "doc_id", "left_anti").unionByName(refs.join(several, "doc_id", "left_semi").distinct())
+    return common.stored(once.select("h1", "h2", "doc_id"), "line-refs")
 
-_REFS = "h1 long, h2 long, doc_id long"
-_COUNTS = "h1 long, h2 long, refs long, least long, most long"
-_FILTERS = "shard long, filter binary"
+
+_KEY = ["h1", "h2"]
 
 
 @dataclass(frozen=True)
@@ -179,46 +194,53 @@ class LineState:
     shards: int
 
     @classmethod
-    def empty(cls, spark: SparkSession, shards: int = 1) -> LineState:
-        none = [spark.createDataFrame([], T._parse_datatype_string(s)) for s in (_REFS, _COUNTS, _FILTERS)]
-        return cls(*none, shards)
+    def empty(cls, spark: SparkSession, shards: int = 1, id_type: str = "bigint") -> LineState:
+        """No documents; their ids will be of ``id_type``."""
+        schemas = f"h1 long, h2 long, doc_id {id_type}", f"h1 long, h2 long, refs long, least {id_type}", "shard long, filter binary"
+        return cls(*[spark.createDataFrame([], T._parse_datatype_string(s)) for s in schemas], shards)
 
     def insert(self, docs: DataFrame) -> LineState:
         """The state with the documents of ``docs`` as well (of an id that is there already: nothing new)."""
-        new = references(docs)
-        if self.refs.limit(1).count():
-            new = new.join(self.refs.select("doc_id").distinct(), "doc_id", "left_anti").select("h1", "h2", "doc_id")
-        new = common.stored(new, "line-refs")
-        more = new.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("refs"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-        before = self.counts
-        if before.limit(1).count():
-            more = before.unionByName(more).groupBy("h1", "h2").agg(F.sum("refs").alias("refs"), F.min("least").alias("least"), F.max("most").alias("most"))
-        return self._with(self.refs.unionByName(new), common.stored(more, "line-counts"))
+        new = _once(common.stored(references(docs), "line-refs"), docs.select("doc_id"))
+        first = self.refs.isEmpty()
+        if not first:
+            new = common.stored(new.join(self.refs.select("doc_id").distinct(), "doc_id", "left_anti").select("h1", "h2", "doc_id"), "line-refs")
+        more = new.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("refs"), F.min("doc_id").alias("least"))
+        if first:
+            counted = more.select(*_KEY, F.lit(0).cast("long").alias("before"), "refs", "least")
+        else:
+            counted = (
+                self.counts.select(*_KEY, F.col("refs").alias("before"), "refs", "least").unionByName(more.select(*_KEY, F.lit(0).cast("long").alias("before"), "refs", "least"))
+                .groupBy(*_KEY).agg(F.sum("before").alias("before"), F.sum("refs").alias("refs"), F.min("least").alias("least"))
+            )
+        return self._with(new if first else self.refs.unionByName(new), common.stored(counted, "line-counts"))
 
     def delete(self, ids: DataFrame) -> LineState:
         """The state without the documents whose ``doc_id`` is in ``ids``."""
-        gone = ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+        kind = self.refs.schema["doc_id"].dataType
+        gone = common.stored(ids.select(F.col("doc_id").cast(kind).alias("doc_id")).where("doc_id is not null").distinct(), "line-gone")
         left = common.stored(self.refs.join(gone, "doc_id", "left_anti").select("h1", "h2", "doc_id"), "line-refs")
-        keys = self.refs.join(gone, "doc_id", "left_semi").select("h1", "h2").distinct()
-        keys = common.stored(keys, "line-keys")
-        anew = left.join(keys, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("refs"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-        counts = self.counts.join(keys, ["h1", "h2"], "left_anti").select("h1", "h2", "refs", "least", "most").unionByName(anew)
-        return self._with(left, common.stored(counts, "line-counts"))
-
-    def _with(self, refs: DataFrame, counts: DataFrame) -> LineState:
+        less = self.refs.join(gone, "doc_id", "left_semi").groupBy(*_KEY).agg(F.count(F.lit(1)).alias("less"), F.min("doc_id").alias("went"))
+        rest = F.coalesce("less", F.lit(0))
+        now = common.stored(
+            self.counts.join(less, _KEY, "left").select(*_KEY, F.col("refs").alias("before"), (F.col("refs") - rest).alias("refs"), "least", (F.col("went") <= F.col("least")).alias("orphan")), "line-counts"
+        )
+        # Keys without their least document: the next one is among the references.
+        orphans = now.where("orphan and refs > 0").select(*_KEY)
+        heirs = left.join(orphans, _KEY, "left_semi").groupBy(*_KEY).agg(F.min("doc_id").alias("heir"))
+        counted = now.join(heirs, _KEY, "left").select(*_KEY, "before", "refs", F.coalesce("heir", "least").alias("least"))
+        return self._with(left, common.stored(counted, "line-counts"))
+
+    def _with(self, refs: DataFrame, counted: DataFrame) -> LineState:
         """New filters: each shard's old one with the keys that came to be shared, without those that no longer are."""
-        shared = counts.where("least < most").select("h1", "h2")
-        n = shared.count()
+        n = counted.where("refs >= 2").count()
         shards = max(self.shards, 1 << max(0, int(np.ceil(np.log2(max(1, n) / SHARD_KEYS)))))
-        old = self.counts.where("least < most").select("h1", "h2")
-        if shards != self.shards or not self.filters.limit(1).count():
-            changes, start = shared.withColumn("sign", F.lit(1)), self.filters.limit(0)
+        if shards != self.shards or self.filters.isEmpty():
+            changes, start = counted.where("refs >= 2").select(*_KEY, F.lit(1).alias("sign")), self.filters.limit(0)
         else:
-            changes = shared.join(old, ["h1", "h2"], "left_anti").withColumn("sign", F.lit(1)).unionByName(
-                old.join(shared, ["h1", "h2"], "left_anti").withColumn("sign", F.lit(-1)))
+            changes = counted.where("(before >= 2) != (refs >= 2)").select(*_KEY, F.when(F.col("refs") >= 2, 1).otherwise(-1).alias("sign"))
             start = self.filters
-        shard = F.pmod(F.col("h1"), F.lit(shards))
-        rows = changes.select(shard.alias("shard"), "h1", "h2", "sign", F.lit(None).cast("binary").alias("filter")).unionByName(
+        rows = changes.select(_shard(shards).alias("shard"), *_KEY, "sign", F.lit(None).cast("binary").alias("filter")).unionByName(
             start.select("shard", F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), F.lit(0).alias("sign"), "filter"))
 
         def update(pdf):
@@ -231,43 +253,57 @@ class LineState:
             pdf["filter"] = [f.dump()]
             return pdf
 
-        filters = common.stored(rows.groupBy("shard").applyInPandas(update, _FILTERS), "line-filters")
-        return LineState(refs, counts, filters, shards)
-
-    def maybe_shared(self, refs: DataFrame) -> DataFrame:
-        """The rows of ``refs`` whose key a filter holds; all rows if the filters are too large to send."""
-        if (self.filters.agg(F.sum(F.length("filter"))).first()[0] or 0) > FILTER_BYTES:
-            return refs
-        shards = self.shards
-        held = refs.sparkSession.sparkContext.broadcast({r["shard"]: r["filter"] for r in self.filters.collect()})
+        # A group is a shard: the keys that several documents hold, about SHARD_KEYS of them.
+        filters = common.stored(rows.groupBy("shard").applyInPandas(update, "shard long, filter binary"), "line-filters")
+        return LineState(refs, counted.where("refs > 0").select(*_KEY, "refs", "least"), filters, shards)
+
+    def maybe_shared(self) -> DataFrame:
+        """The references whose key a filter holds: all to lines that several documents hold, and few others."""
+        kind = self.refs.schema["doc_id"].dataType
+        shard = _shard(self.shards)
+        # A row for each shard of SHARD_KEYS shared keys.
+        parts = self.counts.groupBy(shard.alias("shard")).agg(F.ceil(F.sum("refs") / PART_REFS).cast("int").alias("parts"))
+        parts = common.stored(parts, "line-parts")
+        refs = self.refs.withColumn("shard", shard).join(parts, "shard").select("shard", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), *_KEY, "doc_id", F.lit(None).cast("binary").alias("filter"))
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("h1", "long"), ("h2", "long"), ("doc_id", kind))]
+        filters = self.filters.join(parts, "shard").select("shard", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), *none, "filter")
+        dealt = refs.unionByName(filters).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("filter").isNull())
 
         def run(batches):
-            filters = {k: Cuckoo.load(v) for k, v in held.value.items()}
+            held, at = None, None
             for batch in batches:
-                h1, h2 = (batch.column(k).to_numpy() for k in (0, 1))
-                shard = np.mod(h1, shards)
-                keep = np.zeros(len(h1), bool)
-                for k in np.unique(shard).tolist():
-                    if k in filters:
-                        at = np.flatnonzero(shard == k)
-                        keep[at] = filters[k].contains(h1[at], h2[at])
+                shards, part, h1, h2 = (batch.column(k).fill_null(0).to_numpy() for k in range(4))
+                is_filter = batch.column(5).is_valid().to_numpy(zero_copy_only=False)
+                keep = np.zeros(batch.num_rows, bool)
+                cuts = np.flatnonzero(np.concatenate(([True], (shards[1:] != shards[:-1]) | (part[1:] != part[:-1]) | is_filter[1:])))
+                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), batch.num_rows], strict=True):
+                    if is_filter[a]:
+                        held, at = Cuckoo.load(batch.column(5)[a].as_py()), shards[a]
+                        a += 1
+                    # A shard without a filter has no shared key.
+                    if a < b and at == shards[a]:
+                        keep[a:b] = held.contains(h1[a:b], h2[a:b])
                 if keep.any():
-                    yield batch.filter(pa.array(keep))
+                    yield batch.select([2, 3, 4]).filter(pa.array(keep))
 
-        return refs.select("h1", "h2", "doc_id").mapInArrow(run, _REFS)
+        return common.small_batches(dealt).mapInArrow(run, f"h1 long, h2 long, doc_id {kind.simpleString()}")
 
     def drops(self) -> DataFrame:
         """doc_id, keys: for each document the hashes of the lines it loses."""
-        shared = self.counts.where("least < most").select("h1", "h2", "least")
-        rows = self.maybe_shared(self.refs).join(shared, ["h1", "h2"]).where("doc_id > least")
-        return rows.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("keys"))
+        shared = self.counts.where("refs >= 2").select(*_KEY, "least")
+        rows = common.stored(self.maybe_shared(), "line-maybe-shared").join(shared, _KEY).where("doc_id > least")
+        return rows.groupBy("doc_id").agg(F.collect_set(F.struct(*_KEY)).alias("keys"))
+
+
+def _shard(shards: int):
+    return F.pmod(F.col("h1"), F.lit(shards).cast("long"))
 
 
 def dedup(docs: DataFrame, state: LineState) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept (the text without lines that an earlier document holds)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     drops = state.drops().select(F.col("doc_id").alias("__id"), F.expr("transform(keys, k -> k.h1)").alias("__h1"), F.expr("transform(keys, k -> k.h2)").alias("__h2"))
-    joined = docs.select("doc_id", "text").join(drops, F.col("doc_id").cast("long") == F.col("__id"), "left").select("doc_id", "text", "__h1", "__h2")
+    joined = docs.select("doc_id", "text").join(drops, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "__h1", "__h2")
 
     def run(batch):
         n_lines, n_dropped, kept = [], [], []

@@ -73,7 +73,7 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return linededup.digest(linededup.dedup(docs, linededup.LineState.empty(spark).insert(docs)))
+    return linededup.digest(linededup.dedup(docs, linededup.LineState.empty(spark, id_type=docs.schema["doc_id"].dataType.simpleString()).insert(docs)))
 
 
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from pathloom.llm import linededup
@@ -42,9 +42,44 @@ def test_against_brute_force(docs):
     assert run(docs(*ROWS, clash=True)) == plain(ROWS)
 
 
-def test_the_exact_way_alone(docs, monkeypatch):
-    monkeypatch.setattr(linededup, "FILTER_BYTES", 0)
-    assert run(docs(*ROWS)) == plain(ROWS)
+def test_counts_are_documents(docs):
+    """The exact counts and least documents, repeated rows and rows of one id included."""
+    rows = [*ROWS, (2, "another line of two\nShared line here"), (2, "another line of two")]
+    state = LineState.empty(docs().sparkSession).insert(docs(*rows))
+    holders = {}
+    for i, text in rows:
+        for key in linededup.line_keys((text or "").encode()):
+            if key and i is not None:
+                holders.setdefault(tuple(np.frombuffer(linededup.key_hash(key), "<i8").tolist()), set()).add(i)
+    assert {(r["h1"], r["h2"]): (r["refs"], r["least"]) for r in state.counts.collect()} == {k: (len(v), min(v)) for k, v in holders.items()}
+    assert state.refs.count() == sum(map(len, holders.values()))
+    assert run(docs(*rows)) == plain(rows)
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "smallint"])
+def test_ids_of_other_types(docs, kind):
+    rows = [(i, t) for i, t in ROWS]
+    df = docs(*rows).selectExpr(f"cast(doc_id as {kind}) as doc_id", "text")
+    state = LineState.empty(df.sparkSession, id_type=kind).insert(df)
+    got = linededup.dedup(df, state)
+    assert dict(got.dtypes)["doc_id"] == kind
+    as_text = (lambda i: i if i is None else str(i)) if kind == "string" else (lambda i: i)
+    assert sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"]) for r in got.collect()), key=str) == plain([(as_text(i), t) for i, t in rows])
+
+
+def test_hot_lines_are_split(docs, monkeypatch):
+    """One line in every document: its shard's references come in many parts."""
+    monkeypatch.setattr(linededup, "PART_REFS", 16)
+    rows = [(i, f"the line of everybody\nown line number {i}\nline of pairs {i // 2}") for i in range(200)]
+    assert run(docs(*rows)) == plain(rows)
+    asked = LineState.empty(docs().sparkSession).insert(docs(*rows)).maybe_shared().count()
+    assert 400 <= asked < 420  # own lines are turned away
+
+
+def test_long_texts(docs):
+    long = "\n".join(f"line number {k}" for k in range(60_000))
+    rows = [(1, long), (2, long + "\nand one more line"), (3, "x" * 3_000_000)]
+    assert run(docs(*rows)) == plain(rows)
 
 
 def test_many_shards(docs, monkeypatch):
@@ -80,6 +115,22 @@ def test_deletion_brings_lines_back(docs, spark):
     assert got == plain(all_rows)
 
 
+@given(st.lists(st.tuples(st.booleans(), st.sets(st.integers(0, 7), min_size=1, max_size=4)), min_size=1, max_size=4))
+@settings(max_examples=2, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_any_order_of_changes(spark, steps):
+    """After insertions and deletions in any order the state is that of inserting what is left."""
+    text = {i: "\n".join(f"a shared line {i % k}" for k in (1, 2, 3)) for i in range(8)}
+    frame = lambda ids: spark.createDataFrame([(i, text[i]) for i in sorted(ids)], "doc_id long, text string")
+    state, there = LineState.empty(spark), set()
+    for add, ids in steps:
+        state = state.insert(frame(ids)) if add else state.delete(frame(ids))
+        there = there | ids if add else there - ids
+    never = LineState.empty(spark).insert(frame(there))
+    for a, b in ((state.counts, never.counts), (state.refs, never.refs)):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert sorted(map(tuple, state.maybe_shared().join(state.counts.where("refs >= 2"), ["h1", "h2"]).collect())) == sorted(map(tuple, never.maybe_shared().join(never.counts.where("refs >= 2"), ["h1", "h2"]).collect()))
+
+
 def test_inserting_twice_changes_nothing(docs, spark):
     df = docs((1, "some longer line"), (2, "some longer line"))
     once = LineState.empty(spark).insert(df)
