@@ -55,40 +55,44 @@ FROM rows GROUP BY conv_id
 """
 
 
-def _mixing(rounds: int, keep: float, powers: dict[str, float]) -> str:
-    """Raking unrolled: each step is one window over the step before."""
+def _mixing(powers: dict[str, float], bins: int, rounds: int, near: float, step: float) -> str:
+    """Raking as a recursion over the table of cells, one round a step, and the nearest probability of each cell."""
     axes = list(powers)
     cell = ", ".join(axes)
-    sql = f"SELECT {cell}, tokens, cast(tokens AS double) AS w FROM cells"
-    for _ in range(rounds):
-        for a in axes:
-            sql = f"""SELECT {cell}, tokens, CASE WHEN now > 0 THEN w * aim * total / now ELSE 0 END AS w FROM (
-              SELECT c.*, sum(w) OVER (PARTITION BY {a}) AS now, aim FROM ({sql}) c JOIN aim_{a} USING ({a})), (SELECT sum(tokens) AS total FROM cells)"""
-    aims = ", ".join(
-        f"aim_{a} AS (SELECT {a}, power(sum(tokens), {p}) / sum(power(sum(tokens), {p})) OVER () AS aim FROM cells GROUP BY {a})" for a, p in powers.items()
-    )
+    aims = ", ".join(f"aim_{a} AS (SELECT {a}, sum(tokens) AS held, power(sum(tokens), {p}) / sum(power(sum(tokens), {p})) OVER () AS aim FROM cells GROUP BY {a})" for a, p in powers.items())
+    largest = ", ".join(f"(SELECT min(held / aim) FROM aim_{a} WHERE aim > 0)" for a in axes)
+    sql = f"SELECT {cell}, tokens, keep, goal, round, w, 0.0 AS off FROM raked WHERE NOT done"
+    for a in axes:
+        sql = f"""SELECT {cell}, tokens, keep, goal, round, least(tokens, CASE WHEN now > 0 THEN w * (aim * goal / now) ELSE 0 END) AS w, greatest(off, max(abs(now - aim * goal)) OVER () / goal) AS off
+          FROM (SELECT c.*, sum(w) OVER (PARTITION BY {a}) AS now, aim FROM ({sql}) c JOIN aim_{a} USING ({a}))"""
     return rf"""
-WITH marked AS (
+WITH RECURSIVE marked AS (
   SELECT doc_id, text, coalesce(source, 'none') AS source, coalesce(lang, 'none') AS lang,
          CASE WHEN regexp_matches(text, '[Ll]icense|LICENSE|[Cc]opyright|COPYRIGHT') THEN 'legal' WHEN regexp_matches(text, '@|https?://|www\.') THEN 'web'
               WHEN regexp_matches(text, '[0-9]{{3}}') THEN 'figures' ELSE 'prose' END AS topic,
-         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n_tokens
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n_tokens,
+         cast('0x' || substr(md5(coalesce(cast(doc_id AS varchar), text, '')), 1, 8) AS bigint) / 4294967296.0 AS u
   FROM documents),
 cells AS (SELECT {cell}, cast(sum(n_tokens) AS bigint) AS tokens FROM marked GROUP BY {cell}),
 {aims},
-raked AS MATERIALIZED ({sql}),
-ranked AS (
-  SELECT *, row_number() OVER (ORDER BY w / tokens DESC, {cell}) AS k, sum(tokens) OVER () AS total,
-         coalesce(sum(tokens) OVER (ORDER BY w / tokens DESC, {cell} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_tokens,
-         sum(w) OVER (ORDER BY w / tokens DESC, {cell} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
-  FROM raked WHERE tokens > 0),
-factor AS (
-  SELECT c FROM (SELECT k, w / tokens AS r, ({keep} * total - full_tokens) / rest AS c FROM ranked) WHERE c * r <= 1 ORDER BY k LIMIT 1),
-chance AS (SELECT {cell}, CASE WHEN tokens > 0 THEN least(1.0, c * w / tokens) ELSE 1.0 END AS p FROM raked, factor)
-SELECT doc_id, {cell}, n_tokens, round(p, 6) AS p,
-       cast('0x' || substr(md5(coalesce(cast(doc_id AS varchar), text, '')), 1, 8) AS bigint) / 4294967296.0 < p AS sampled
+first AS (SELECT least({largest}) / sum(tokens) AS keep, sum(tokens) AS total FROM cells),
+raked AS (
+  SELECT {cell}, tokens, keep, keep * total AS goal, 0 AS round, tokens * keep AS w, false AS done FROM cells, first
+  UNION ALL
+  SELECT {cell}, tokens, CASE WHEN again THEN keep * {step} ELSE keep END, CASE WHEN again THEN goal * {step} ELSE goal END, CASE WHEN again THEN 0 ELSE round + 1 END,
+         CASE WHEN again THEN tokens * keep * {step} ELSE w END, off <= {near} OR (round + 1 >= {rounds} AND NOT again)
+  FROM (SELECT *, off > {near} AND round + 1 >= {rounds} AND bool_or(tokens > 0 AND w >= tokens) OVER () AS again FROM ({sql}))),
+weights AS (SELECT {cell}, tokens, w FROM raked WHERE done),
+steps AS (SELECT {cell}, cast(floor(u * {bins}) AS bigint) AS step, sum(n_tokens) AS t FROM marked GROUP BY ALL),
+chances AS (
+  SELECT {cell}, (step + 1) / {bins}.0 AS p, sum(t) OVER (PARTITION BY {cell} ORDER BY step) AS drawn FROM steps
+  UNION ALL SELECT {cell}, 0.0, 0 FROM cells UNION ALL SELECT {cell}, 1.0, tokens FROM cells),
+chance AS (
+  SELECT {cell}, CASE WHEN tokens > 0 THEN p ELSE 1.0 END AS p
+  FROM (SELECT *, row_number() OVER (PARTITION BY {cell} ORDER BY abs(drawn - w), p DESC) AS k FROM chances JOIN weights USING ({cell})) WHERE k = 1)
+SELECT doc_id, {cell}, n_tokens, cast(p AS double) AS p, u < p AS sampled
 FROM marked JOIN chance USING ({cell})
 """
 
 
-MIXING = _mixing(10, 0.8, {"source": 0.5, "lang": 0.7, "topic": 0.5})
+MIXING = _mixing({"source": 0.5, "lang": 0.7, "topic": 0.5}, 1024, 60, 1e-4, 0.98)

@@ -46,7 +46,7 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.probabilities(table(spark, sf_dir, "documents")).withColumn("p", F.round("p", 6))
+    return mixing.probabilities(table(spark, sf_dir, "documents"))
 
 
 def quality_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
