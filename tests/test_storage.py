@@ -5,7 +5,8 @@ import pytest
 from pathloom import storage
 
 
-def test_tables_come_back_and_go(spark):
+def test_tables_come_back_and_go(spark, monkeypatch):
+    monkeypatch.setattr(storage, "_written", {})  # other tests' tables stay
     a, b = (storage.stored(spark.range(n), "some") for n in (3, 5))
     assert (a.count(), b.count()) == (3, 5) and a.stored_at != b.stored_at
     storage.discard(a, None, spark.range(1))
