@@ -7,17 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathloom.storage import shared_dir, stored
+from pathloom.storage import discard, shared_dir, stored
 
-__all__ = ["bounded_sample", "fold_of", "logistic_fit", "map_texts", "shared_dir", "shuffle_partitions", "sigmoid", "small_batches", "spread", "stored", "table", "text_chunks"]
+__all__ = ["bounded_sample", "discard", "fold_of", "logistic_fit", "map_texts", "shared_dir", "shuffle_partitions", "sigmoid", "sample_texts", "small_batches", "stored", "table", "text_chunks"]
 
 #: Text bytes that a Python worker turns into objects at a time.
 CHUNK_BYTES = 4 << 20
 #: Bytes of an Arrow batch that goes to a Python worker.
 BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,35 +34,38 @@ def fold_of(doc_id: Column, mod: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod, F.lit(0))
 
 
-def bounded_sample(labelled: DataFrame, label: str, per_class: int, classes: int) -> DataFrame:
-    """At most ``per_class`` rows of each label, chosen by a hash of doc_id.
+def bounded_sample(labelled: DataFrame, label: str, per_class: int) -> DataFrame:
+    """At most ``per_class`` ids of each label, those with the least hashes, in two scans however many labels there are.
 
     ``labelled`` has doc_id and the label column.  Rows with a null are left
-    out, repeated rows count once, an id with several labels has the least.
-    The result has at most ``per_class * classes`` rows: labels beyond the
-    ``classes`` most frequent are left out.
+    out, repeated rows count once, an id with several labels has the least.  The
+    first scan estimates the ids of each label; the second keeps the ids whose
+    hash is in the share that holds ``per_class`` of them (with some to spare, so
+    that the estimate does not show), which are then ranked.
     """
-    rows = labelled.select("doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).distinct()
-    top = [r[0] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(classes).collect()]
-    parts = [
-        rows.where(F.col(label) == F.lit(v)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in sorted(top)
-    ]
-    if not parts:
-        return rows.limit(0)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("doc_id").agg(F.min(label).alias(label))
+    rows = labelled.select("doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    share = rows.groupBy(label).agg(F.approx_count_distinct("doc_id", 0.02).alias("ids")).select(F.col(label).alias("__label"), F.least(F.lit(1.0), F.lit(1.25 * per_class + 100) / F.col("ids")).alias("__share"))
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = rows.join(share, rows[label] == share["__label"]).where(chance <= F.col("__share")).select("doc_id", label).distinct()
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(chance, "doc_id"))
+    return some.withColumn("__rank", rank).where(F.col("__rank") <= per_class).groupBy("doc_id").agg(F.min(label).alias(label))
 
 
-def spread(sample: DataFrame) -> DataFrame:
-    """A bounded sample over as many tasks as can work on it at once (64 at most), however few files it came from."""
-    return sample.repartition(max(1, min(64, sample.sparkSession.sparkContext.defaultParallelism)))
+def sample_texts(docs: DataFrame, sample: DataFrame, label: str) -> DataFrame:
+    """text and label of the ids in a bounded sample, one text for each id (of repeated ids the least), over as many tasks as can work on it at once (64 at most)."""
+    ids = sample.select(F.col("doc_id").alias("__id"), F.col(label).alias("__label"))
+    one = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.min("__label").alias(label))
+    return one.select("text", label).repartition(max(1, min(64, docs.sparkSession.sparkContext.defaultParallelism)))
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``; its session hands texts to Python in batches of BATCH_BYTES or less, as ten thousand long texts would fill a worker."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """``df``; its session hands texts to Python in batches of BATCH_BYTES or less, as ten thousand long texts would fill a worker.
+
+    The setting holds when the frame is run, so it stays; one that the session was made with is left alone.
+    """
+    conf = df.sparkSession.conf
+    if _BATCH not in conf.getAll:
+        conf.set(_BATCH, str(BATCH_BYTES))
     return df
 
 

@@ -1,18 +1,22 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Model: for every language the smoothed log-probability of each of ``buckets``
-hash buckets, over character n-grams of one to ``max_n`` code points of the
-lower-cased text.  Its size is fixed by two parameters (languages x buckets x 4
-bytes, 4 MB for 16 languages), so it can be broadcast at any corpus size.
+Model: for every language the smoothed log-probability of each hash bucket, over
+character n-grams of one to ``max_n`` code points of the lower-cased text.  There
+are ``2**bits`` buckets, fewer only if the languages times buckets would pass
+``MODEL_BYTES``: so every language stays and the matrix can be broadcast.
 
-Scoring is done in numpy over sparse counts: the n-grams of many texts are
-hashed at once, and the log-probabilities of the buckets that occur are summed
-by text, in blocks of bounded length, whatever the length of a text.
+Scoring is done in numpy over sparse counts: the n-grams of many texts are hashed
+at once and counted by text and bucket; each count that occurs is multiplied with
+its bucket's row of the matrix and summed by text, in blocks of bounded length,
+whatever the length of a text.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0;
-training rows with a null language, text or id are left out; with no training
-row at all every document is ``und``; repeated rows are each predicted; other
-columns are ignored by ``predict`` and kept by ``keep_identified``.
+training rows with a null language, text or id are left out, one text is learned
+from for each id; with no training row at all every document is ``und``, and
+``keep_identified`` keeps none; of equally likely languages the first by name is
+taken; repeated rows are each predicted; an empty table gives no row; other
+columns, whatever their names, are ignored by ``predict`` and kept by
+``keep_identified``.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from . import common
 
 #: Code points hashed at a time.
 BLOCK = 1 << 19
+#: Of the matrix: 256 languages with 65,536 buckets.
+MODEL_BYTES = 64 << 20
 UND = "und"
 _letter = re.compile(r"[^\W\d_]")
 
@@ -36,14 +42,14 @@ _letter = re.compile(r"[^\W\d_]")
 @dataclass(frozen=True)
 class Model:
     langs: list[str]
-    #: languages x buckets, float32
+    #: buckets x languages, float32
     logp: np.ndarray
     prior: np.ndarray
     max_n: int
 
     @property
     def bits(self) -> int:
-        return int(self.logp.shape[1]).bit_length() - 1
+        return int(self.logp.shape[0]).bit_length() - 1
 
 
 def _codes(text: str) -> np.ndarray:
@@ -69,15 +75,18 @@ def _blocks(codes: np.ndarray, overlap: int):
         yield codes[at : at + BLOCK + overlap], min(BLOCK, len(codes) - at)
 
 
-def fit(docs: DataFrame, per_lang: int = 4000, max_langs: int = 256, max_n: int = 3, bits: int = 16, alpha: float = 0.5) -> Model:
+def fit(docs: DataFrame, per_lang: int = 4000, max_n: int = 3, bits: int = 16, alpha: float = 0.5) -> Model:
     """Counts over a sample of at most ``per_lang`` documents of each language.
 
     ``docs`` holds the rows that may be learned from (doc_id, text, lang).  The
     counts are summed by task, so that what comes back is one vector for each
     language and no text.
     """
-    sample = common.bounded_sample(docs, "lang", per_lang, max_langs)
-    rows = common.stored(common.spread(docs.select("doc_id", "text", "lang").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")), "lang-sample")
+    sample = common.bounded_sample(docs.where("text is not null"), "lang", per_lang)
+    rows = common.stored(common.sample_texts(docs, sample, "lang"), "lang-sample")
+    n_langs = rows.select("lang").distinct().count()
+    while bits > 1 and (n_langs << bits) * 4 > MODEL_BYTES:
+        bits -= 1
     size = 1 << bits
 
     def count(batches):
@@ -108,7 +117,7 @@ def fit(docs: DataFrame, per_lang: int = 4000, max_langs: int = 256, max_n: int
         dense[part["bucket"].to_numpy(), k] = part["n"].to_numpy()
         docs_of[k] = part["docs"].sum()
     logp = np.log(dense + alpha) - np.log(dense.sum(axis=0) + alpha * size) if langs else dense
-    return Model(langs, np.ascontiguousarray(logp.T.astype(np.float32)), np.log(docs_of / docs_of.sum()) if langs else docs_of, max_n)
+    return Model(langs, np.ascontiguousarray(logp.astype(np.float32)), np.log(docs_of / docs_of.sum()) if langs else docs_of, max_n)
 
 
 def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -126,17 +135,32 @@ def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.nd
         codes = np.concatenate(held)
         starts = np.cumsum([0, *map(len, held)])[:-1]
         ends = np.append(starts[1:], len(codes))
+        row = np.repeat(np.array(of, np.uint64) << np.uint64(model.bits), np.diff(np.append(starts, len(codes))))
+        keys = []
         for n in range(1, model.max_n + 1):
             h = _hashes(codes, n, model.bits)
             # An n-gram counts once, for the piece in which it begins, if it ends in the same text.
+            counts = np.zeros(len(codes) + 1, np.int8)
             lo = np.minimum(starts, len(h))
             hi = np.minimum(np.maximum(np.minimum(starts + fresh, ends - n + 1), starts), len(h))
-            for k in range(len(model.langs)):
-                run = np.append(0.0, np.cumsum(model.logp[k][h], dtype=np.float64))
-                np.add.at(total[:, k], of, run[hi] - run[lo])
+            np.add.at(counts, lo, 1)
+            np.add.at(counts, hi, -1)
+            inside = np.cumsum(counts[: len(h)], dtype=np.int8).astype(bool)
+            keys.append((row[: len(h)] | h)[inside])
+        # The sparse counts: texts and buckets that occur, and how often.
+        key = np.sort(np.concatenate(keys))
         held.clear()
         fresh.clear()
         of.clear()
+        if not len(key):
+            return
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        many = np.diff(np.append(first, len(key)))
+        key = key[first]
+        text = (key >> np.uint64(model.bits)).astype(np.int64)
+        new = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
+        weighed = model.logp[(key & np.uint64((1 << model.bits) - 1)).astype(np.int64)] * many[:, None]
+        total[text[new]] += np.add.reduceat(weighed, new, axis=0, dtype=np.float64)
 
     room = 0
     for r, i in enumerate(rows):

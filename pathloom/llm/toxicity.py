@@ -1,32 +1,38 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick in folded text.
 
-Folding: lower case; look-alike letters of other scripts, fullwidth forms and
-marks used as letters become the Latin letter; digits that stand for letters
-beside a letter become those letters; invisible characters go; all that is no
-letter becomes one space.
-
-Lexicon: word beginnings and whole words that a toxic document holds far more
-often than a clean one (at most ``MOST_A_DOC`` times count), each with the log of
-that ratio as weight.  A
-beginning stands for a family of word forms; longer entries are kept only where
-they say more than a shorter one.  Exception phrases are pairs of neighbouring
-words that hold an entry and occur in clean documents only: an entry covered by
-one does not count.
+Folding: lower case; letters that Unicode writes as another letter's form
+(mathematical, fullwidth, with marks) become that letter, marks over letters and
+invisible characters go; look-alike letters of other scripts and marks used as
+letters become the Latin letter; digits that stand for letters beside a letter
+become those letters; all that is no letter becomes one space.
+
+Lexicon: word beginnings of ``SHORTEST`` to ``LONGEST`` letters and whole words
+that a toxic document holds far more often than a clean one (in learning, at most
+``MOST_A_DOC`` occurrences in a document count, so that one document makes no
+entry), each with the log of that ratio as weight.  A beginning stands for a family
+of word forms; longer entries are kept only where they say more than a shorter one.
+Exception phrases are pairs of neighbouring words that hold an entry and occur in
+clean documents only: an entry covered by one does not count.
 
 Score: a logistic model of the summed weight, of the weight for each hundred
 words (the normalisation by length) and of the number of different entries.
 
-The lexicon is fitted on a sample bounded by ``per_class``; its entries are
-bounded by ``MAX_ENTRIES``, so the automaton can be broadcast.
+The lexicon is fitted on a sample bounded by ``per_class``; the model is bounded
+by ``MAX_ENTRIES`` entries (those of most weight) and ``MAX_PHRASES`` phrases (the
+most frequent), so the automaton can be broadcast.  A text is matched whole, in one
+pass whose time goes with its length and its matches.
 
 Defined cases: null and empty texts are scored as texts without an entry; with
-labels of one class only the score is that class's share; repeated rows are
-each scored; other columns are ignored.
+labels of one class only the score is that class's share; equal weights are put in
+the order of the entries; repeated rows are each scored, and one text is learned
+from for each id; an empty table of documents gives no row; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -52,23 +58,24 @@ _LOOKALIKE = {
 }
 _MARKS = {"@": "a", "$": "s"}
 _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
-_gone = re.compile("[­​-‏⁠﻿]")
+#: Marks that stand over or under letters, and invisible characters.
+_gone = re.compile("[̀-ͯ⃐-⃿­​-‏⁠﻿]")
 _digit_in_word = re.compile(r"[013457]+(?=[^\W\d_])|(?<=[^\W\d_])[013457]+")
 _mark_in_word = re.compile(r"(?<=[^\W\d_])[@$](?=[^\W\d_])")
 _no_letter = re.compile(r"[\W\d_]+")
 
 
-# Fullwidth forms stand at a fixed distance from ASCII.
-_FOLD = {ord(k): v for k, v in _LOOKALIKE.items()} | {c + 0xFEE0: chr(c).lower() for c in range(0x21, 0x7F)}
+_FOLD = {ord(k): v for k, v in _LOOKALIKE.items()}
 _as_letters = str.maketrans(_DIGITS)
 _marks = str.maketrans(_MARKS)
 
 
 def fold(text: str) -> str:
     """Folded words with one space before, between and after."""
-    text = text.lower()
     if not text.isascii():
-        text = _gone.sub("", text).translate(_FOLD)
+        text = unicodedata.normalize("NFKD", text)
+        text = _gone.sub("", text).lower().translate(_FOLD)
+    text = text.lower()
     if "@" in text or "$" in text:
         text = _mark_in_word.sub(lambda m: m[0].translate(_marks), text)
     text = _digit_in_word.sub(lambda m: m[0].translate(_as_letters), text)
@@ -114,11 +121,19 @@ class Lexicon:
                 covered.append((start, end))
             elif start not in best or size > best[start][0]:
                 best[start] = (size, weight, entry)
-        if covered and best:
-            for a, b in covered:
-                for s in [s for s in best if a <= s < b]:
-                    del best[s]
-        return [(s, w, e) for s, (_, w, e) in best.items()]
+        starts = sorted(best)
+        if covered and starts:
+            # Phrases overlap by a word at most a few times: one walk over words and phrases in order.
+            covered.sort()
+            free, k, upto = [], 0, -1
+            for s in starts:
+                while k < len(covered) and covered[k][0] <= s:
+                    upto = max(upto, covered[k][1])
+                    k += 1
+                if s >= upto:
+                    free.append(s)
+            starts = free
+        return [(s, best[s][1], best[s][2]) for s in starts]
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Rows of log summed weight, log weight a hundred words, log different entries, 1."""
@@ -200,14 +215,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     total = sum(share.values())
     if len(share) < 2:
         return Lexicon({}, base_rate=share.get(1, 0) / total if total else 0.0)
-    sample = common.bounded_sample(known.select("doc_id", (F.col(label) > 0).cast("int").alias("label")), "label", per_class, 2)
-    rows = common.stored(common.spread(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")), "toxic-sample")
+    sample = common.bounded_sample(known.select("doc_id", (F.col(label) > 0).cast("int").alias("label")), "label", per_class)
+    rows = common.stored(common.sample_texts(docs, sample, "label"), "toxic-sample")
     size = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(size) < 2:
         return Lexicon({}, base_rate=share[1] / total)
 
     counts = _count(rows, lambda folded: _beginnings(folded.split()), "entry").where(F.col("t") >= _least(size[1]))
-    entries = _lexicon([(r["entry"], r["t"], r["c"]) for r in counts.orderBy(F.desc("t"), "c", "entry").limit(20 * MAX_ENTRIES).collect()], size[1], size[0])
+    entries = _lexicon([(r["entry"], r["t"], r["c"]) for r in counts.toLocalIterator()], size[1], size[0])
     lexicon = Lexicon(entries)
 
     def phrases(folded: str) -> set[str]:

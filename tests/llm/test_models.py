@@ -73,7 +73,7 @@ def test_scores_are_those_of_the_counts(tongues):
     total = model.prior.copy()
     for n in range(1, model.max_n + 1):
         for h in langid._hashes(codes, n, model.bits):
-            total += model.logp[:, h]
+            total += model.logp[h]
     p = np.exp(total - total.max())
     lang, score = langid.score_texts(model, [text])
     assert lang[0] == model.langs[p.argmax()] and score[0] == pytest.approx(p.max() / p.sum())
@@ -83,7 +83,7 @@ def test_scores_are_those_of_the_counts(tongues):
 
 
 @pytest.mark.parametrize(("text", "want"), [
-    ("An IDIOT!", " an idiot "), ("1d10t and id10ts", " idiot and idiots "), ("ідіоt", " iдiot "[:0] + " iдiot "), ("ｉｄｉｏｔ", " idiot "), ("a​b", " ab "), ("tr@sh $cum lo$er", " trash cum loser "), ("  ", "  "), ("12 45.7", "  "), ("naïve café", " naïve café "),
+    ("An IDIOT!", " an idiot "), ("1d10t and id10ts", " idiot and idiots "), ("ідіоt", " iдiot "[:0] + " iдiot "), ("ｉｄｉｏｔ", " idiot "), ("a​b", " ab "), ("tr@sh $cum lo$er", " trash cum loser "), ("  ", "  "), ("12 45.7", "  "), ("naïve café", " naive cafe "), ("i\u0301di\u0323ot", " idiot "), ("\U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d", " idiot "), ("Straße ﬁne", " straße fine "),
 ])
 def test_folding(text, want):
     assert toxicity.fold(text) == want
@@ -178,6 +178,112 @@ def test_folds(spark):
 
 
 def test_samples_are_bounded(spark):
-    df = spark.range(1000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).alias("k"))
-    got = common.bounded_sample(df, "k", 10, 2).groupBy("k").count().collect()
-    assert {(r["k"], r["count"]) for r in got} == {(0, 10), (1, 10)}
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).alias("k"))
+    one = common.bounded_sample(df, "k", 100)
+    assert {(r["k"], r["count"]) for r in one.groupBy("k").count().collect()} == {(0, 100), (1, 100), (2, 100)}
+    # The ids with the least hashes, however often a row is there.
+    again = common.bounded_sample(df.unionByName(df.where("doc_id < 10000")).unionByName(spark.range(5).select(F.lit(7).cast("long").alias("doc_id"), F.lit(1).cast("long").alias("k"))), "k", 100)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, again.collect()))
+    few = common.bounded_sample(df.where("doc_id < 20"), "k", 100)
+    assert few.count() == 20
+
+
+def test_every_language_stays(docs, monkeypatch):
+    monkeypatch.setattr(langid, "MODEL_BYTES", 40 * 4 * 1024)
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 30, f"l{i:03}", "web") for i in range(40)]
+    model = langid.fit(docs(*rows))
+    assert len(model.langs) == 40 and model.bits == 10 and model.logp.nbytes <= langid.MODEL_BYTES
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs(*rows), model).collect()}
+    assert sum(got[i] == lang for i, _, lang, _ in rows) >= 36
+
+
+def test_language_counts_by_brute_force(spark, tongues):
+    """The model's probabilities from counts made one n-gram at a time."""
+    model = langid.fit(tongues, bits=12)
+    assert model.langs == ["aa", "bb"]
+    seen = {k: np.zeros(1 << 12) for k in model.langs}
+    for r in tongues.collect():
+        text = f" {r['text'].lower()} "
+        for n in (1, 2, 3):
+            for k in range(len(text) - n + 1):
+                seen[r["lang"]][langid._hashes(np.frombuffer(text[k : k + n].encode("utf-32-le"), np.uint32), n, 12)[0]] += 1
+    for k, lang in enumerate(model.langs):
+        want = np.log((seen[lang] + 0.5) / (seen[lang].sum() + 0.5 * (1 << 12)))
+        assert model.logp[:, k] == pytest.approx(want, abs=1e-5)
+    assert model.prior == pytest.approx(np.log([0.5, 0.5]))
+
+
+def test_lexicon_by_brute_force(rude, spark):
+    """Scores from the lexicon without an automaton: each word's longest entry, but for words that a phrase covers."""
+    docs, labels = rude
+    lex = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, lex).collect()}
+    for r in docs.collect():
+        words = toxicity.fold(r["text"]).split()
+        covered = {j for k in range(len(words) - 1) if f" {words[k]} {words[k + 1]} " in lex.phrases for j in (k, k + 1)}
+        found = []
+        for k, w in enumerate(words):
+            fits = [e for e in lex.entries if f" {w} ".startswith(e)]
+            if fits and k not in covered:
+                found.append(max(fits, key=len))
+        total = sum(lex.entries[e] for e in found)
+        x = np.array([np.log1p(total), np.log1p(100 * total / max(1, len(words))), np.log1p(len(set(found))), 1.0]) if found else np.array([0, 0, 0, 1.0])
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-x @ lex.model)), abs=1e-9)
+
+
+def test_weights_by_brute_force(rude, spark):
+    """Entries and weights from occurrences counted one by one."""
+    docs, labels = rude
+    lex = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    toxic = dict(labels)
+    rows = [(toxicity.fold(r["text"]), toxic[r["doc_id"]]) for r in docs.collect()]
+    n = [sum(1 for _, y in rows if y == k) for k in (0, 1)]
+    for entry, weight in lex.entries.items():
+        c, t = (sum(min(5, sum(f" {w} ".startswith(entry) for w in text.split())) for text, y in rows if y == k) for k in (0, 1))
+        assert weight == pytest.approx(np.log((t + 0.5) / (n[1] + 1)) - np.log((c + 0.5) / (n[0] + 1)))
+
+
+def test_matching_goes_with_the_length():
+    """Twice as many phrases and words in a text take about twice as long, not four times."""
+    import time
+
+    lex = toxicity.Lexicon({" bad": 2.0}, frozenset({" not bad "}))
+    text = toxicity.fold("not bad " * 200_000)
+    began = time.process_time()
+    assert lex.matches(text) == []
+    assert time.process_time() - began < 5
+
+
+def test_pairs_by_brute_force():
+    """Weights of the pairwise loss found by plain gradient descent."""
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(size=(60, 3)), np.ones(60)])
+    good = x[:, 0] + 0.5 * x[:, 1] + rng.normal(size=60) > 0
+    w = quality.bradley_terry(x, good, 500, l2=1.0)
+    rng = np.random.default_rng(7)
+    a, b = np.flatnonzero(good), np.flatnonzero(~good)
+    n = min(500, 20 * max(len(a), len(b)))
+    z = (x[:, :3] - x[:, :3].mean(axis=0)) / x[:, :3].std(axis=0)
+    d = z[rng.choice(a, n)] - z[rng.choice(b, n)]
+    v = np.zeros(3)
+    for _ in range(20_000):
+        v -= 0.001 * (-(2 * d.T @ (1 / (1 + np.exp(d @ v)))) + v)
+    assert w[:3] * x[:, :3].std(axis=0) == pytest.approx(v, abs=1e-4)
+
+
+def test_long_texts_and_empty_tables(rude, tongues, spark, docs):
+    df, labels = rude
+    tox = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    good = quality.fit(df, spark.createDataFrame(labels, "doc_id long, quality int"))
+    lang = langid.fit(tongues)
+    long = docs((1, long_text(200_000) + " snark boo snarkish" * 2000), (2, "ka lo mi " * 300_000))
+    for score, model in ((toxicity.score, tox), (quality.score, good), (langid.predict, lang)):
+        assert {r["doc_id"] for r in score(long, model).collect()} == {1, 2}
+        assert score(docs().limit(0), model).count() == 0
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(long, lang).collect()}[2] == "aa"
+
+
+def test_rows_of_one_id_are_learned_from_once(docs, spark):
+    rows = [(5, "some text of one id")] * 300 + [(i, f"text {i}") for i in range(6, 20)]
+    sample = spark.createDataFrame([(5, 1), (6, 0)], "doc_id long, label int")
+    assert sorted(map(tuple, common.sample_texts(docs(*rows), sample, "label").collect())) == [("some text of one id", 1), ("text 6", 0)]
