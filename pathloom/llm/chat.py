@@ -10,13 +10,16 @@ lengths, cumulative offsets and scatter indices are computed in numpy, and all
 bytes are copied at once into one preallocated Arrow buffer.  The loss mask holds
 the byte spans of assistant texts.
 
-A conversation is written in pieces of bounded size, in order, so that a very
-long one needs no memory of its own; digests are taken over the pieces as a
-stream.
+Turns are dealt out by ranges of conversation and turn, so that a very long
+conversation is formatted by many tasks, and written in numbered pieces of bounded
+size.  ``read_back`` puts the pieces of a conversation in order itself, wherever
+they are stored.  Its digests are chains over all bytes of a conversation, which
+no two tasks can share: one task reads them as a stream, a piece at a time.
 
 Defined cases: null roles and texts are empty; turns are ordered by turn, role,
 text (null first), repeated rows stay; rows with a null conv_id form one
-conversation; an empty table gives no row; other columns are ignored.
+conversation; a very long text is one piece; an empty table gives no row; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -76,20 +79,23 @@ def assemble(roles: list[str], texts: list[str]) -> tuple[pa.Buffer, np.ndarray,
 
 
 def format_turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, piece, formatted, text_start, text_bytes, learned: pieces of each conversation in order.
+    """conv_id, piece, formatted, text_start, text_bytes, learned: pieces of each conversation, in the order of their numbers.
 
     ``text_start`` and ``text_bytes`` give the span of each turn's text in the
     piece; those with ``learned`` are the loss mask.
     """
     kind = conversations.schema["conv_id"].dataType.simpleString()
-    ordered = (
-        conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-        .repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    )
+    keys = ["conv_id", "turn", "role", "text"]
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # Rows that differ in their texts alone stay together: a range's bounds are sent around, and texts may be long.
+    dealt = rows.repartitionByRange(common.shuffle_partitions(conversations.sparkSession), "conv_id", "turn", "role")
+    ordered = dealt.sortWithinPartitions(*keys).select(*keys, F.spark_partition_id().cast("long").alias("part"))
 
     def run(batches):
-        last, piece = object(), 0
+        piece = None
         for batch in batches:
+            if piece is None and batch.num_rows:
+                piece = batch.column(4)[0].as_py() << 32
             for part in common.text_chunks(batch, ["conv_id", "role", "text"]):
                 ids = part.column(0).to_pylist()
                 roles, texts = part.column(1).to_pylist(), part.column(2).to_pylist()
@@ -102,33 +108,35 @@ def format_turns(conversations: DataFrame) -> DataFrame:
                 cuts.append(len(ids))
                 out: dict[str, list] = {k: [] for k in ("conv_id", "piece", "formatted", "text_start", "text_bytes", "learned")}
                 for a, b in zip(cuts, cuts[1:], strict=False):
-                    piece = piece + 1 if ids[a] == last else 0
-                    last = ids[a]
                     base = int(ends[a - 1]) if a else 0
                     out["conv_id"].append(ids[a])
                     out["piece"].append(piece)
+                    piece += 1
                     out["formatted"].append(view[base : ends[b - 1]].tobytes())
                     out["text_start"].append((text_at[a:b] - base).tolist())
                     out["text_bytes"].append((ends[a:b] - len(_END) - text_at[a:b]).tolist())
                     out["learned"].append([r == LEARNED for r in roles[a:b]])
                 spans = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out["conv_id"], part.column(0).type), pa.array(out["piece"], pa.int32()), pa.array(out["formatted"], pa.binary()),
+                    [pa.array(out["conv_id"], part.column(0).type), pa.array(out["piece"], pa.int64()), pa.array(out["formatted"], pa.binary()),
                      pa.array(out["text_start"], spans), pa.array(out["text_bytes"], spans), pa.array(out["learned"], pa.list_(pa.bool_()))],
                     names=list(out),
                 )
 
-    return common.small_batches(ordered).mapInArrow(run, f"conv_id {kind}, piece int, formatted binary, text_start array<long>, text_bytes array<long>, learned array<boolean>")
+    return common.small_batches(ordered).mapInArrow(run, f"conv_id {kind}, piece long, formatted binary, text_start array<long>, text_bytes array<long>, learned array<boolean>")
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
-    """Digests of each conversation from its formatted pieces, which come in order in one partition (as ``format_turns`` leaves them)."""
+    """Digests of each conversation from its formatted pieces, in whatever order and partitions they are."""
     kind = pieces.schema["conv_id"].dataType.simpleString()
+    names = ["conv_id", "piece", "formatted", "text_start", "text_bytes", "learned"]
+    pieces = pieces.select(*names).repartition("conv_id").sortWithinPartitions("conv_id", "piece")
     columns = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches):
         done: list[list] = []
         state = None
+        last = object()
         id_type = None
 
         def close():
@@ -143,10 +151,11 @@ def read_back(pieces: DataFrame) -> DataFrame:
 
         for batch in batches:
             id_type = batch.column(0).type
-            for part in common.text_chunks(batch, ["conv_id", "piece", "formatted", "text_start", "text_bytes", "learned"], "formatted"):
-                for conv, piece, data, at, size, learned in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    if piece == 0:
+            for part in common.text_chunks(batch, names, "formatted"):
+                for conv, _, data, at, size, learned in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if conv != last:
                         close()
+                        last = conv
                         state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                     whole = data.decode("utf-8", "surrogatepass")
                     seen, n = 0, 0
@@ -171,4 +180,4 @@ def read_back(pieces: DataFrame) -> DataFrame:
         if done:
             yield flush()
 
-    return pieces.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return common.small_batches(pieces).mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

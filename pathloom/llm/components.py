@@ -1,10 +1,14 @@
 """Connected components of a table of links, by alternating large and small stars.
 
 Each round writes its links to shared storage, so that lineage stays short and a
-lost executor costs one round at most.  Minima are combined before a shuffle;
-the joins have a stored table on either side, which lets adaptive execution
-split the partition of a hub.  Nothing is gathered on the driver but two numbers
-a round.
+lost executor costs one round at most, and deletes those of the round before.
+Minima are combined before a shuffle; the joins have a stored table on either
+side, which lets adaptive execution split the partition of a hub.  Nothing is
+gathered on the driver but two numbers a round.
+
+Defined cases: links with a null end and links of a node with itself count for
+nothing; repeated links and both directions of one are one link; a table without
+links gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +40,9 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         # Small star: smaller neighbours, and the node itself, move to the least one.
         low = common.stored(large.groupBy("u").agg(F.min("v").alias("m")), "stars")
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = common.stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
-        now = _signature(e)
+        settled = common.stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        common.discard(e, least, large, low)
+        e, now = settled, _signature(settled)
         if now == seen:
             break
         seen = now

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, langid, linededup, mixing, ogg, oracles, quality, simhash, tokenids, toxicity
-from .common import fold_of, table
+from .common import fold_of, stored, table
 
 #: Set to use another vocabulary file.
 TOKENIZER: str | None = None
@@ -55,7 +55,7 @@ def quality_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ogg.inspect(ogg.encode(table(spark, sf_dir, "documents")))
+    return ogg.inspect(stored(ogg.encode(table(spark, sf_dir, "documents")), "ogg-media"))
 
 
 def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
     )
-    return chat.read_back(chat.format_turns(rows.unionByName(own)))
+    return chat.read_back(stored(chat.format_turns(rows.unionByName(own)), "chat-pieces"))
 
 
 def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,10 +19,12 @@ forest (at most one link for each fingerprint and subtrie), which has the same
 components; components are then joined up on the cluster.
 
 Defined cases: a null or empty text, or one of white space, has the fingerprint
-0, linked like any other; repeated rows are rows of one document; rows with a
-null doc_id get a fingerprint and a component, but are never its id (a component
-of such rows alone has a null id); other columns are ignored by
-``near_duplicates`` and kept by ``keep_one``.
+0, linked like any other; a bit set in just half of the hashes is 0; repeated rows
+are rows of one document; rows with a null doc_id get a fingerprint and a
+component, but are never its id (a component of such rows alone has a null id);
+a very long text's hashes are added up in blocks; an empty table gives an empty
+one; other columns, whatever their names, are ignored by ``near_duplicates`` and
+kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -249,12 +251,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows with a null doc_id stay.
     """
     found = near_duplicates(docs)
-    stay = common.stored(
-        found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).select(F.col("doc_id").alias("__id"), F.col("rows").alias("__rows")), "survivors"
-    )
+    stay = common.stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).select(F.col("doc_id").alias("id"), "rows"), "survivors")
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # its names are its own
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns]
     # A merge join at every size: the list of survivors grows with the documents, so it is never sent to all executors.
-    kept = docs.join(stay.hint("merge"), docs["doc_id"] == stay["__id"], "inner")
-    once = kept.where("__rows = 1").select(*[docs[c] for c in docs.columns])
-    if stay.where("__rows > 1").limit(1).count():
-        once = once.unionByName(kept.where("__rows > 1").dropDuplicates(["__id"]).select(*[docs[c] for c in docs.columns]))
+    kept = whole.join(stay.hint("merge"), F.col("row.doc_id") == F.col("id"), "inner")
+    once = kept.where("rows = 1").select(*own)
+    if not stay.where("rows > 1").isEmpty():
+        once = once.unionByName(kept.where("rows > 1").dropDuplicates(["id"]).select(*own))
     return once.unionByName(docs.where(F.col("doc_id").isNull()))

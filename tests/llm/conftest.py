@@ -6,7 +6,7 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside or return; a table may have them too.
-CLASHING = ("score", "fp", "fingerprint", "component_id", "tokens", "p", "topic", "rows", "__id", "part", "place", "data", "h1", "start", "label", "item_id")
+CLASHING = ("score", "fp", "fingerprint", "component_id", "tokens", "p", "topic", "rows", "__id", "part", "place", "data", "h1", "start", "label", "item_id", "id", "row", "u", "shard", "filter", "__source", "__lang", "__topic", "__tokens", "__p", "__rows", "__row", "__label", "__share")
 
 
 @pytest.fixture

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pathloom.llm import chat, ogg
+from pathloom.llm import chat, common, ogg
 
 from .conftest import long_text
 
@@ -127,6 +127,22 @@ def test_long_conversations_come_in_pieces(spark, monkeypatch):
     assert read(df) == plain(rows)
 
 
+def test_stored_pieces_are_read_in_any_order(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PIECE_BYTES", 300)
+    rows = [(c, t, ("user", "assistant")[t % 2], long_text(30, t)) for c in (1, 2, None) for t in range(50)]
+    pieces = common.stored(chat.format_turns(say(spark, *rows)), "pieces")
+    spread = pieces.orderBy("piece", ascending=False).repartition(7)
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.read_back(spread).collect()}
+    assert got == plain(rows)
+
+
+def test_one_conversation_is_formatted_by_many_tasks(spark):
+    rows = [(1, t, ("user", "assistant")[t % 2], long_text(20, t)) for t in range(400)]
+    df = say(spark, *rows)
+    parts = {r["piece"] >> 32 for r in chat.format_turns(df).where("conv_id = 1").collect()}
+    assert len(parts) >= 3 and read(df) == plain(rows)
+
+
 def test_text_outside_the_template_is_refused(spark):
     pieces = chat.format_turns(say(spark, (1, 0, "user", "x"))).selectExpr("conv_id", "piece", "concat(formatted, cast('junk' as binary)) formatted", "text_start", "text_bytes", "learned")
     with pytest.raises(Exception, match="outside the template"):
