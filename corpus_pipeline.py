@@ -4,6 +4,13 @@ Each stage takes all that the one before kept and returns the rows it keeps with
 their columns as they are; the last returns the index of the token shards.  A
 stage's result is written as Parquet on shared storage and read again, so a lost
 executor costs one stage at most.
+
+Defined cases: documents with a null or empty text, or without a letter, go in the
+first stage, as do all if no document has a language to learn from; of repeated
+rows one stays, rows with a null doc_id stay in the second stage and come first in
+the last; very long texts are read whole by every stage; an empty table gives an
+empty index; other columns, whatever their names, are kept as they are up to the
+last stage.
 """
 
 from __future__ import annotations

@@ -7,8 +7,10 @@ partitions, literal joins), so that agreement means something.
 from __future__ import annotations
 
 from pathloom.functions.columns import AXES, COND_AXES
+from pathloom.plans.cubes import PATH_TOP
 
 FIRST, LAST = "2024-01-01", "2024-01-30"
+#: The cut of the query that shows the rest row.
 TOP = 5
 
 BASE = r"""
@@ -108,10 +110,16 @@ CUBE_SQL = {
         SELECT e.period, e.uuid, e.suid, from_state, action_kind, to_state FROM edges e JOIN clicks c USING (period, uuid, suid, visit_idx)
         UNION ALL SELECT e.period, e.uuid, e.suid, from_state, '(no_click)', to_state FROM edges e ANTI JOIN clicks c USING (period, uuid, suid, visit_idx)) p
       JOIN kept k USING (period, uuid, suid) GROUP BY ALL""",
-    "path": f"""SELECT {_A}, n, CASE WHEN r <= {TOP} THEN path ELSE '(other)' END AS path, cast(sum(cnt) AS bigint) AS cnt, count(*) FILTER (WHERE r > {TOP}) AS distinct_dropped, period AS date
-      FROM (SELECT *, row_number() OVER (PARTITION BY {_A}, n ORDER BY cnt DESC, path) AS r FROM (
-        SELECT {_KA}, n, path, count(*) AS cnt FROM grams JOIN kept k USING (period, uuid, suid) GROUP BY ALL)) GROUP BY ALL""",
 }
+
+
+def _paths(top: int) -> str:
+    return f"""SELECT {_A}, n, CASE WHEN r <= {top} THEN path ELSE '(other)' END AS path, cast(sum(cnt) AS bigint) AS cnt, count(*) FILTER (WHERE r > {top}) AS distinct_dropped, period AS date
+      FROM (SELECT *, row_number() OVER (PARTITION BY {_A}, n ORDER BY cnt DESC, path) AS r FROM (
+        SELECT {_KA}, n, path, count(*) AS cnt FROM grams JOIN kept k USING (period, uuid, suid) GROUP BY ALL)) GROUP BY ALL"""
+
+
+CUBE_SQL |= {"path": _paths(PATH_TOP), "path_cut": _paths(TOP)}
 GRAMS = """
 grams AS (
   SELECT period, uuid, suid, 3 AS n, state || '>' || n1 || '>' || n2 AS path FROM seq WHERE n2 IS NOT NULL
@@ -146,9 +154,9 @@ quality AS (
 def over(*cubes: str, ctes: str = "", select: str, recursive: bool = False) -> str:
     """``select`` over the named cubes (as CTEs c_<name>) and over all steps before them."""
     parts = [BASE, DICTS, KEPT]
-    if set(cubes) & {"transition", "action", "cond_transition", "path", "visits"}:
+    if set(cubes) & {"transition", "action", "cond_transition", "path", "path_cut", "visits"}:
         parts.append(VISITS)
-    if "path" in cubes:
+    if {"path", "path_cut"} & set(cubes):
         parts.append(GRAMS)
     if "quality" in cubes:
         parts.append(QUALITY)

@@ -34,7 +34,12 @@ def fan_out(events: DataFrame, days: Sequence[str]) -> DataFrame:
     session = Window.partitionBy("uuid", "suid")
     near = F.expr("filter(days, d -> abs(datediff(d, to_date(date_id))) <= 1)")
     out = events.withColumn("days", F.collect_set(F.to_date("ts")).over(session)).withColumn("build_day", F.explode(near)).drop("days")
-    return out.where(F.col("build_day").isin(*[F.lit(d).cast("date") for d in days])) if len(days) <= 400 else out.where(F.col("build_day").between(F.lit(min(days)).cast("date"), F.lit(max(days)).cast("date")))
+    return out.where(_among(days))
+
+
+def _among(days: Sequence[str]):
+    """Whether build_day is one of ``days``, however many; gaps between them are left out."""
+    return F.col("build_day").isin(*[F.lit(d).cast("date") for d in sorted(set(days))])
 
 
 def attributed(events: DataFrame, days: Sequence[str], whole_sessions: bool = False) -> DataFrame:
@@ -47,7 +52,7 @@ def attributed(events: DataFrame, days: Sequence[str], whole_sessions: bool = Fa
     """
     if whole_sessions:
         first = F.to_date(F.min("ts").over(Window.partitionBy("uuid", "suid")))
-        out = events.withColumn("build_day", first).where(F.col("build_day").between(F.lit(min(days)).cast("date"), F.lit(max(days)).cast("date")))
+        out = events.withColumn("build_day", first).where(_among(days))
     else:
         out = fan_out(events, days).withColumn("t0", F.min("ts").over(Window.partitionBy(*SESSION))).where("to_date(t0) = build_day").drop("t0")
     return out.withColumn("period", F.date_format("build_day", "yyyy-MM-dd"))

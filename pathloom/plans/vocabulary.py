@@ -74,16 +74,22 @@ def counts(events: DataFrame, kind: str, exact: bool = True, rsd: float = 0.023)
 def cut(counted: DataFrame, cut_ratio: float = CUT_RATIO, min_count: int = MIN_COUNT, most: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """value, cnt, rank of the values kept, most frequent first (ties by value), within each of ``by``.
 
-    The running sum is over a whole vocabulary, as its order is: its input is one
-    row for each distinct name.
+    A value is kept if the values before it hold less than ``cut_ratio`` of all
+    sessions.  Values of one count stand together, so the running sum goes over the
+    different counts, of which there are few; of the count at which it passes the
+    ratio the first values are taken.  Ranks are given to what is kept.
     """
-    whole = Window.partitionBy(*(by or [F.lit(1)]))
-    order = whole.orderBy(F.desc("cnt"), "value")
-    ranked = counted.withColumns({
-        "rank": F.row_number().over(order), "before": F.coalesce(F.sum("cnt").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "total": F.sum("cnt").over(whole),
-    })
-    kept = ranked.where((F.col("before") < F.lit(cut_ratio) * F.col("total")) & (F.col("cnt") >= min_count)).select(*by, "value", "cnt", "rank")
+    keys = list(by)
+    whole = Window.partitionBy(*(keys or [F.lit(1)]))
+    levels = counted.groupBy(*keys, "cnt").agg(F.count(F.lit(1)).alias("n"))
+    running = whole.orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, -1)
+    levels = levels.withColumns({"before": F.coalesce(F.sum(F.col("n") * F.col("cnt")).over(running), F.lit(0)), "aim": F.lit(cut_ratio) * F.sum(F.col("n") * F.col("cnt")).over(whole)})
+    levels = levels.where((F.col("before") < F.col("aim")) & (F.col("cnt") >= min_count))
+    near = counted.where(F.col("cnt") >= min_count).join(levels, [*keys, "cnt"])
+    last = F.col("before") + (F.col("n") - 1) * F.col("cnt") >= F.col("aim")
+    place = F.row_number().over(Window.partitionBy(*keys, "cnt").orderBy("value"))
+    first = near.where(last).withColumn("place", place).where(F.col("before") + (F.col("place") - 1) * F.col("cnt") < F.col("aim")).drop("place")
+    kept = near.where(~last).unionByName(first).withColumn("rank", F.row_number().over(whole.orderBy(F.desc("cnt"), "value"))).select(*keys, "value", "cnt", "rank")
     return kept.where(F.col("rank") <= most) if most else kept
 
 

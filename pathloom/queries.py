@@ -76,7 +76,7 @@ class Workspace:
             events = self.events()
             v = self.vocabulary(events)
             rows = stored(S.marked(events, DAYS, v), "marked")
-            made = {n: stored(K.build(n, events, DAYS, v, rows, O.TOP), f"cube-{n}") for n in K.CUBES}
+            made = {n: stored(K.build(n, events, DAYS, v, rows), f"cube-{n}") for n in K.CUBES}
             _kept[key] = CubeSet(**made, state_dict_version=v.version(), services=E.FLAT_SERVICES, requested_dates=tuple(DAYS), present_dates=tuple(DAYS))
         return _kept[key]
 
@@ -208,8 +208,8 @@ def _cube(name: str) -> Query:
 
 
 for _c in K.CUBES:
-    _select = f"SELECT * REPLACE ({O.r('dur_sum')} AS dur_sum) FROM c_transition" if _c == "transition" else f"SELECT * FROM c_{_c}"
-    query(f"cube_{_c}", O.over(_c, select=_select))(_cube(_c))
+    _select = f"SELECT * REPLACE ({O.r('dur_sum')} AS dur_sum) FROM c_transition" if _c == "transition" else f"SELECT * FROM c_{_c}{'_cut' * (_c == 'path')}"
+    query(f"cube_{_c}", O.over("path_cut" if _c == "path" else _c, select=_select))(_cube(_c))
 
 
 def _check(name: str) -> Query:

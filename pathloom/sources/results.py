@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.analyses.base import ENVELOPE_KEYS, AnalysisResult, canonical
 from pathloom.sources.store import Store
+from pathloom.storage import stored
 
 
 class IncompleteEnvelopeError(ValueError):
@@ -85,8 +87,29 @@ def register_skill(store: Store, name: str, record: Mapping) -> dict:
     return have
 
 
-def rows_as_json(frame: DataFrame, page: int = 1, page_size: int = 100, order: list | None = None) -> list[dict]:
-    """A page of rows; what is not a finite number is null."""
-    clean = [F.when(F.col(f.name).isin(float("inf"), float("-inf")) | F.isnan(f.name), None).otherwise(F.col(f.name)).alias(f.name) if f.dataType.simpleString() in ("double", "float") else F.col(f.name) for f in frame.schema]
-    df = frame.orderBy(*order) if order else frame
-    return [r.asDict() for r in df.select(*clean).offset((page - 1) * page_size).limit(page_size).collect()]
+@dataclass(frozen=True)
+class Table:
+    """Rows of a result, computed once and numbered in their order."""
+
+    frame: DataFrame
+    total: int
+    bytes: int
+
+    def page(self, page: int = 1, size: int | None = 100) -> list[dict]:
+        """Rows of a page, all with ``size`` None; what is not a finite number is null."""
+        clean = [F.when(F.col(f.name).isin(float("inf"), float("-inf")) | F.isnan(f.name), None).otherwise(F.col(f.name)).alias(f.name) if f.dataType.simpleString() in ("double", "float") else F.col(f.name) for f in self.frame.schema if f.name != PLACE]
+        rows = self.frame.orderBy(PLACE).select(*clean)
+        if size is not None:
+            rows = rows.offset((max(1, page) - 1) * size).limit(size)
+        return [r.asDict() for r in rows.collect()]
+
+
+#: Numbers that ascend in the order of the rows.
+PLACE = "_place"
+
+
+def as_table(frame: DataFrame) -> Table:
+    kept = stored(frame.withColumn(PLACE, F.monotonically_increasing_id()), "result")
+    path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(kept.stored_at)
+    size = path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return Table(kept, kept.count(), size)

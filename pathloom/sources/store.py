@@ -3,7 +3,9 @@
 A cube lies under ``<root>/cubes/<name>/<key>/date=<day>``; the key is a hash of
 everything that defines its content, so another definition never meets old
 files.  Days are written by dynamic partition overwrite: writing a day again
-replaces that day and no other.  All access goes through Spark's file systems,
+replaces that day and no other, and a day that has no rows any more is emptied.  The
+columns are kept beside the rows, so that loading reads the folders of the days
+asked for and no others.  All access goes through Spark's file systems,
 so the root may be any storage that Spark reaches.
 """
 
@@ -16,7 +18,6 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathloom.functions import columns as C
@@ -91,10 +92,17 @@ class Store:
     def write(self, cube: str, key: str, df: DataFrame, days: Sequence[str]) -> None:
         """All rows of ``days``; a day without rows counts as built too."""
         folder = self.folder(cube, key)
-        for d in days:
-            check_day(d)
+        at = {d: f"{folder}/rows/date={check_day(d)}" for d in days}
+        self._check_columns(cube, df.schema, "new")
+        before = {d: self.list_names(path) for d, path in at.items()}
         # One file for each day: a day's cube is small.
         df.repartition("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(f"{folder}/rows")
+        for d, path in at.items():
+            # Files of another write stay where this one had no rows: the day is empty now.
+            if before[d] and self.list_names(path) == before[d]:
+                fs, p = self._path(path)
+                fs.delete(p, True)
+        self.write_text(f"{folder}/_columns.json", df.drop("date").schema.json())
         for d in days:
             fs, p = self._path(f"{folder}/_days/{d}")
             fs.create(p, True).close()
@@ -102,22 +110,26 @@ class Store:
     def schema(self, cube: str) -> T.StructType:
         return T._parse_datatype_string(SCHEMAS[cube])
 
+    def _check_columns(self, cube: str, found: T.StructType, which: str) -> None:
+        have, want = ({(f.name, f.dataType.simpleString()) for f in x if f.name != "date"} for x in (found, self.schema(cube)))
+        if have != want:
+            raise SchemaMismatchError(f"{cube}: {which} columns differ from the cube's: {sorted(have)}")
+
     def read(self, cube: str, key: str, days: Iterable[str]) -> LoadedCube:
         requested = tuple(sorted({check_day(d) for d in days}))
-        present = tuple(d for d in requested if self.has(cube, key, d))
+        folder = self.folder(cube, key)
+        built = set(self.list_names(f"{folder}/_days"))
+        present = tuple(d for d in requested if d in built)
         if not present:
             raise CubeNotBuiltError(f"{cube}: none of {len(requested)} days is built")
-        want = self.schema(cube)
-        rows = f"{self.folder(cube, key)}/rows"
-        if not self.exists(rows):
-            return LoadedCube(self.spark.createDataFrame([], want), requested, present, tuple(d for d in requested if d not in present))
-        # A fixed schema reads columns by name; files with others are found, not silently filled with nulls.
-        seen = self.spark.read.option("mergeSchema", "true").option("basePath", rows).parquet(rows).drop("date").schema
-        have = {(f.name, f.dataType.simpleString()) for f in seen}
-        if have != {(f.name, f.dataType.simpleString()) for f in want if f.name != "date"}:
-            raise SchemaMismatchError(f"{cube}: stored columns differ from the cube's: {sorted(have)}")
-        frame = self.spark.read.schema(want).option("basePath", rows).parquet(rows).where(F.col("date").isin(*present))
-        return LoadedCube(frame, requested, present, tuple(d for d in requested if d not in present))
+        want, rows = self.schema(cube), f"{folder}/rows"
+        missing = tuple(d for d in requested if d not in built)
+        self._check_columns(cube, T.StructType.fromJson(json.loads(self.read_text(f"{folder}/_columns.json"))), "stored")
+        there = set(self.list_names(rows))
+        paths = [f"{rows}/date={d}" for d in present if f"date={d}" in there]
+        if not paths:
+            return LoadedCube(self.spark.createDataFrame([], want), requested, present, missing)
+        return LoadedCube(self.spark.read.schema(want).option("basePath", rows).parquet(*paths), requested, present, missing)
 
     # ------------------------------------------------------------ vocabularies
 

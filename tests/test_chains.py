@@ -14,9 +14,12 @@ def chain(*rows):
     return markov.Chain(pd.DataFrame(rows, columns=["from_state", "to_state", "cnt"]))
 
 
-@pytest.mark.parametrize(("rows", "want"), [([("A", "EXIT", 1)], [1]), ([("A", "B", 1), ("B", "EXIT", 1)], [2, 1]), ([("A", "EXIT", 1), ("A", "A", 3)], [4])])
-def test_expected_steps(rows, want):
-    assert chain(*rows).expected_steps() == pytest.approx(want)
+@pytest.mark.parametrize(("stay", "leave"), [(1, 4), (5, 5), (9, 1)])
+def test_expected_steps(stay, leave):
+    """A screen that is shown again with chance q keeps a session for 1 / (1 - q) steps; one that leads there takes one more."""
+    c = chain(("door", "room", 7), ("room", "room", stay), ("room", "EXIT", leave))
+    steps = dict(zip(c.names, c.expected_steps(), strict=True))
+    assert steps["room"] == pytest.approx((stay + leave) / leave) and steps["door"] == pytest.approx(1 + steps["room"])
 
 
 def test_a_trap_makes_steps_infinite():
