@@ -46,7 +46,8 @@ def bounded_sample(labelled: DataFrame, label: str, per_class: int) -> DataFrame
     rows = labelled.select("doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     share = rows.groupBy(label).agg(F.approx_count_distinct("doc_id", 0.02).alias("ids")).select(F.col(label).alias("__label"), F.least(F.lit(1.0), F.lit(1.25 * per_class + 100) / F.col("ids")).alias("__share"))
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = rows.join(share, rows[label] == share["__label"]).where(chance <= F.col("__share")).select("doc_id", label).distinct()
+    # One number for each label, of which there are no more than the model that is learned can hold.
+    some = rows.join(F.broadcast(share), rows[label] == share["__label"]).where(chance <= F.col("__share")).select("doc_id", label).distinct()
     rank = F.row_number().over(Window.partitionBy(label).orderBy(chance, "doc_id"))
     return some.withColumn("__rank", rank).where(F.col("__rank") <= per_class).groupBy("doc_id").agg(F.min(label).alias(label))
 
