@@ -101,7 +101,7 @@ def screen_flow(cubes: CubeSet, keys: Keys = (), exit_within: Sequence[int] = ()
     cubes.need("screen_flow", "transition")
     solved = markov.flow(cubes.transition, keys, damping, exit_within)
     horizons = [f"p_exit_within_{k}" for k in exit_within]
-    rows = solved.where("error is null").drop("error").join(markov.determinism(cubes.transition, keys), [*keys, "state"], "left")
+    rows = solved.where("error is null").drop("error")
     visits = F.sum("visits").over(whole(keys))
     baseline = F.sum(F.col("exit_prob") * F.col("visits")).over(whole(keys)) / F.when(visits > 0, visits)
     frame = rows.withColumns({"exit_baseline": baseline}).withColumn("exit_lift", C.ratio(F.col("exit_prob"), F.col("exit_baseline")))

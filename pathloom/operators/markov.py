@@ -134,6 +134,17 @@ class Chain:
             rank = new
         raise ValueError(f"page rank did not settle in 1000 rounds at damping {damping}")
 
+    def next_steps(self) -> dict[str, object]:
+        """What ``determinism`` says of each screen."""
+        seen = self.counts[self.screens]
+        left = seen.sum(axis=1) > 0
+        p = np.where(left[:, None], self.p[self.screens], 0)
+        entropy = -(p * np.log(np.where(p > 0, p, 1))).sum(axis=1)
+        known = {"entropy": entropy, "hhi": (p * p).sum(axis=1), "top_p": p.max(axis=1), "effective_choices": np.exp(entropy)}
+        # States are in order, so the first of the largest is the one that ties go to.
+        top = [self.states[i] if some else None for i, some in zip(seen.argmax(axis=1), left, strict=True)]
+        return {k: np.where(left, v, np.nan) for k, v in known.items()} | {"out_degree": (seen > 0).sum(axis=1), "top_to": top}
+
     def expected_steps(self) -> np.ndarray:
         """Steps to EXIT of each screen; infinite where the session may get somewhere without a way out."""
         out = np.full(len(self.screens), np.inf)
@@ -202,7 +213,10 @@ def per_chain(edges: DataFrame, keys: Keys, solve: Callable[[Chain], pd.DataFram
     return grouped.applyInPandas(run, full)
 
 
-FLOW = "state string, exit_prob double, pi double, expected_steps double, p_reach_exit double, pagerank double, visits double, error string"
+FLOW = (
+    "state string, exit_prob double, pi double, expected_steps double, p_reach_exit double, pagerank double, visits double, "
+    "entropy double, hhi double, top_p double, effective_choices double, out_degree long, top_to string, error string"
+)
 
 
 def flow(edges: DataFrame, keys: Keys = (), damping: float = 0.85, exit_within: Sequence[int] = ()) -> DataFrame:
@@ -218,14 +232,14 @@ def flow(edges: DataFrame, keys: Keys = (), damping: float = 0.85, exit_within:
             e = chain.at[C.EXIT]
             out = pd.DataFrame({
                 "state": chain.names, "exit_prob": chain.p[chain.screens, e], "pi": chain.stationary(), "expected_steps": chain.expected_steps(),
-                "p_reach_exit": [reach_of[s] for s in chain.names], "pagerank": chain.pagerank(damping), "visits": chain.counts[chain.screens].sum(axis=1), "error": None,
+                "p_reach_exit": [reach_of[s] for s in chain.names], "pagerank": chain.pagerank(damping), "visits": chain.counts[chain.screens].sum(axis=1),
+                **chain.next_steps(), "error": None,
             })
             for k in exit_within:
                 out[f"p_exit_within_{k}"] = chain.exit_within(k)
             return out
         except (ValueError, KeyError) as why:
-            row = {"state": None, "exit_prob": np.nan, "pi": np.nan, "expected_steps": np.nan, "p_reach_exit": np.nan, "pagerank": np.nan, "visits": np.nan, "error": f"{type(why).__name__}: {why}"}
-            return pd.DataFrame([row | {f"p_exit_within_{k}": np.nan for k in exit_within}])
+            return pd.DataFrame([dict.fromkeys(part.split()[0] for part in (FLOW + more).split(", ")) | {"error": f"{type(why).__name__}: {why}"}])
 
     return per_chain(edges, keys, solve, FLOW + more)
 

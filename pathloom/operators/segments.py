@@ -117,7 +117,12 @@ def compare(cubes: CubeSet, name: str, on: str, a: str, b: str, released: Mappin
         whens = F.array(F.lit(POOLED), F.col("period")) if _has(df, "period") else F.array(F.lit(POOLED))
         return F.flatten(F.transform(sides, lambda s: F.transform(whens, lambda w: F.concat(s, F.lit(SEP), w))))
 
-    got = headlines(scoped.sliced(slices), name, params)
+    first = scoped.filter(**{on: a})
+    got, env, skew = base.at_once(
+        lambda: headlines(scoped.sliced(slices), name, params),
+        lambda: base.envelope(first, base.get(name)(first, (), **params)),
+        lambda: measures.weight_skew(measures.day_volumes(weights, on, a, b, days, measure)).first()[0],
+    )
     pooled = delta(_numbers(got.get(f"{a}{SEP}{POOLED}")), _numbers(got.get(f"{b}{SEP}{POOLED}")))
     per_day = pd.DataFrame([{"period": d, **{f"delta_{k}": v for k, v in delta(_numbers(got.get(f"{a}{SEP}{d}")), _numbers(got.get(f"{b}{SEP}{d}"))).items()}} for d in days])
     disagrees = False
@@ -126,11 +131,8 @@ def compare(cubes: CubeSet, name: str, on: str, a: str, b: str, released: Mappin
             signs = {(x > 0) - (x < 0) for x in per_day[f"delta_{k}"].dropna()}
             if len(signs) == 1 and not math.isnan(v) and ((v > 0) - (v < 0)) not in signs:
                 disagrees = True
-    volumes = measures.day_volumes(weights, on, a, b, days, measure)
-    skew = measures.weight_skew(volumes).first()[0]
     reason = "days of both segments" + (", from the release on" if released and any(released.get(v) for v in (a, b)) else "")
-    first = scoped.filter(**{on: a})
-    env = base.envelope(first, base.get(name)(first, (), **params)) | {"present_dates": days, "comparison": {"on": on, "a": a, "b": b}}
+    env |= {"present_dates": days, "comparison": {"on": on, "a": a, "b": b}}
     return Comparison(pooled, per_day, math.nan if skew is None else skew, days, reason, disagrees, on, a, b, name, recorded | dict(params), env)
 
 
@@ -143,15 +145,14 @@ def decompose(cubes: CubeSet, c: Comparison, by: Sequence[str], metric: str) ->
     inside = F.col("period").isin(*c.dates_used)
     side = lambda v: F.sum(F.when(inside & (F.col(c.on) == v), F.col(measure)).otherwise(0)).cast("double")
     # All strata of the cube, those outside the comparison's days too.
-    strata = weights.groupBy(*by).agg(side(c.a).alias("a_cnt"), side(c.b).alias("b_cnt")).where(" and ".join(f"{k} is not null" for k in by)).orderBy(*by).toPandas()
+    every = weights.groupBy(*by).agg(side(c.a).alias("a_cnt"), side(c.b).alias("b_cnt")).where(" and ".join(f"{k} is not null" for k in by)).orderBy(*by)
 
     def slices(df: DataFrame) -> Column:
         if not _has(df, c.on, *by):
             return F.array().cast("array<string>")
         return F.when(F.col(c.on).isin(c.a, c.b), F.array(F.concat_ws(SEP, F.col(c.on), *[F.col(k) for k in by]))).otherwise(F.array().cast("array<string>"))
 
-    params = {k: v for k, v in c.params.items()}
-    got = headlines(scoped.sliced(slices), c.analysis, params)
+    strata, got = base.at_once(every.toPandas, lambda: headlines(scoped.sliced(slices), c.analysis, c.params))
     out = []
     for r in strata.to_dict("records"):
         at = SEP.join(str(r[k]) for k in by)
@@ -203,27 +204,32 @@ def per_service(cubes: CubeSet, name: str, **params) -> ServiceBreakdown:
             own = F.coalesce(a, b)
             fits = own.isNotNull() & ((a == b) | (a.isNull() & F.col("from_state").isin(*C.ENDS)) | (b.isNull() & F.col("to_state").isin(*C.ENDS)))
             every = F.array(*[F.lit(s) for s in services]).cast("array<string>")
-            return F.when(ends, every).when(fits, F.array(own)).otherwise(none)
-        if _has(df, "service_code"):
-            return F.array(F.col("service_code"))
-        return none
+            mine = F.when(ends, every).when(fits, F.array(own)).otherwise(none)
+        else:
+            mine = F.array("service_code") if _has(df, "service_code") else none
+        return F.concat(mine, F.array(F.lit(POOLED)))
 
     # Of the cubes only transitions and quality are known by service.
     narrow = CubeSet(
         transition=cubes.transition, quality=cubes.quality if cubes.quality is not None and _has(cubes.quality, "service_code") else None, state_dict_version=cubes.state_dict_version,
         services=cubes.services, requested_dates=cubes.requested_dates, present_dates=cubes.present_dates,
     )
-    plan = base.get(name)(cubes, (), **params)
-    row = plan.headline.first()
-    if row is not None and plan.errors and row["error"] is not None:
-        raise ValueError(row["error"])
-    pooled = base.numbers(row) if row is not None else {}
-    got: dict[str, dict] = {}
-    failure = ""
-    try:
-        got = headlines(narrow.sliced(slices), name, params)
-    except (ValueError, KeyError) as why:
-        failure = f"{type(why).__name__}: {why}"
+
+    def by_service() -> tuple[dict[str, dict], str]:
+        try:
+            return headlines(narrow.sliced(slices), name, params), ""
+        except (ValueError, KeyError) as why:
+            return {}, f"{type(why).__name__}: {why}"
+
+    (got, failure), cross = base.at_once(by_service, lambda: crossing_share(edges).first()[0])
+    whole = got.get(POOLED)
+    if whole is None:
+        # The analysis needs cubes that have no services, or there is nothing to split.
+        row = base.get(name)(cubes, (), **params).headline.first()
+        whole = base.numbers(row) | ({"error": row["error"]} if "error" in row and row["error"] is not None else {}) if row is not None else {}
+    if whole.get("error"):
+        raise ValueError(whole["error"])
+    pooled = _numbers(whole)
     out = []
     for r in rows.to_dict("records"):
         h = got.get(r["service"], {"error": failure or "nothing to compute in this service"})
@@ -235,7 +241,6 @@ def per_service(cubes: CubeSet, name: str, **params) -> ServiceBreakdown:
             lo, hi = float(frame[k].min()), float(frame[k].max())
             if v < lo or v > hi:
                 outside[k] = (lo, hi)
-    cross = crossing_share(edges).first()[0]
     return ServiceBreakdown(frame, pooled, outside, math.nan if cross is None else cross, services)
 
 

@@ -14,7 +14,7 @@ from pathloom.plans import sessions as S
 from pathloom.plans import vocabulary as V
 from pathloom.sources import events as E
 from pathloom.sources.store import CubeNotBuiltError, Store, key_of
-from pathloom.storage import stored
+from pathloom.storage import discard, stored
 
 #: ``scan(days, services)`` gives canonical events of exactly these partitions.
 Scan = Callable[[Sequence[str], Sequence[str]], DataFrame]
@@ -61,19 +61,24 @@ class Builder:
             if not todo:
                 continue
             events = self.scan(E.window_days(todo), self.services)
-            rows = None
-            if sum(bool(missing[n]) for n in names if n != "quality") > 1:
-                # Five cubes from one pass: the marked events are written once.
-                rows = stored(S.marked(events, todo, vocabulary), "marked")
-            for n in names:
-                if not missing[n]:
-                    continue
-                try:
-                    cube = K.build(n, events, missing[n], vocabulary, rows, self.top).where(F.col("date").isin(*missing[n]))
-                    self.store.write(n, self.key(n, vocabulary), cube, missing[n])
-                except Exception as why:
-                    return BuildReport(built, skipped, f"{n} {missing[n][0]}: {type(why).__name__}: {why}")
-                built[n] += missing[n]
+            rows = visits = None
+            try:
+                if sum(bool(missing[n]) for n in names if n != "quality") > 1:
+                    # Five cubes from one pass: the marked events are written once.
+                    rows = stored(S.marked(events, todo, vocabulary), "marked")
+                    if sum(bool(missing[n]) for n in names if n in K.OF_VISITS) > 1:
+                        visits = stored(S.visit_rows(rows), "visits")
+                for n in names:
+                    if not missing[n]:
+                        continue
+                    try:
+                        cube = K.build(n, events, missing[n], vocabulary, rows, self.top, visits).where(F.col("date").isin(*missing[n]))
+                        self.store.write(n, self.key(n, vocabulary), cube, missing[n])
+                    except Exception as why:
+                        return BuildReport(built, skipped, f"{n} {missing[n][0]}: {type(why).__name__}: {why}")
+                    built[n] += missing[n]
+            finally:
+                discard(rows, visits)
         return BuildReport(built, skipped)
 
     def load(self, start: str, end: str, vocabulary: V.StateDict, names: Sequence[str] = K.CUBES) -> CubeSet:

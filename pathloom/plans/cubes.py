@@ -16,6 +16,8 @@ from pathloom.functions import columns as C
 from pathloom.plans import sessions as S
 from pathloom.plans.vocabulary import StateDict
 
+#: Cubes of what visits follow each other.
+OF_VISITS = ("transition", "cond_transition", "path")
 CUBES = ("session", "transition", "action", "cond_transition", "path", "quality")
 PATH_LENGTHS, PATH_TOP = (3, 4, 5), 200
 TIMEOUT_SECONDS = 21_600
@@ -51,8 +53,8 @@ def session_cube(rows: DataFrame) -> DataFrame:
     return out.select(*C.AXES, "sessions", "uv", "pv", "events", "duration_sum", "date")
 
 
-def transition_cube(rows: DataFrame) -> DataFrame:
-    edges = S.edge_rows(S.visit_rows(rows))
+def transition_cube(visits: DataFrame) -> DataFrame:
+    edges = S.edge_rows(visits)
     out = edges.groupBy(*C.AXES, "from_state", "to_state").agg(
         F.count(F.lit(1)).alias("cnt"), F.coalesce(F.sum("dwell"), F.lit(0.0)).alias("dur_sum"), F.count("dwell").alias("dur_n")
     )
@@ -65,9 +67,9 @@ def action_cube(rows: DataFrame) -> DataFrame:
     return _dated(clicks.groupBy(*C.AXES, "screen", "action_kind", "layer1", "layer2").agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def cond_transition_cube(rows: DataFrame) -> DataFrame:
+def cond_transition_cube(rows: DataFrame, visits: DataFrame) -> DataFrame:
     """Pairs of a click and the edge it led to; an edge without a click is one pair with ``(no_click)``."""
-    edges = S.edge_rows(S.visit_rows(rows))
+    edges = S.edge_rows(visits)
     clicks = rows.where("is_click").groupBy(*S.SESSION, "visit_idx", F.col("kind").alias("action_kind")).agg(F.count(F.lit(1)).alias("clicks"))
     pairs = edges.join(clicks, [*S.SESSION, "visit_idx"], "left").select(
         *C.COND_AXES, "from_state", F.coalesce("action_kind", F.lit(C.NO_CLICK)).alias("action_kind"), "to_state", F.coalesce("clicks", F.lit(1)).alias("n")
@@ -75,9 +77,8 @@ def cond_transition_cube(rows: DataFrame) -> DataFrame:
     return _dated(pairs.groupBy(*C.COND_AXES, "from_state", "action_kind", "to_state").agg(F.sum("n").alias("cnt")))
 
 
-def ngram_rows(rows: DataFrame) -> DataFrame:
+def ngram_rows(visits: DataFrame) -> DataFrame:
     """n and path of every run of three, four and five visits."""
-    visits = S.visit_rows(rows)
     step = [F.col("state"), *[F.col(f"next{k}") for k in range(1, 5)]]
 
     def gram(n: int) -> Column:
@@ -99,8 +100,8 @@ def top_with_rest(counted: DataFrame, keys: Sequence[str], item: str, top: int)
     return folded.agg(F.sum("cnt").alias("cnt"), F.sum((~F.col("_kept")).cast("long")).alias("distinct_dropped"))
 
 
-def path_cube(rows: DataFrame, top: int = PATH_TOP) -> DataFrame:
-    counted = ngram_rows(rows).groupBy(*C.AXES, "n", "path").agg(F.count(F.lit(1)).alias("cnt"))
+def path_cube(visits: DataFrame, top: int = PATH_TOP) -> DataFrame:
+    counted = ngram_rows(visits).groupBy(*C.AXES, "n", "path").agg(F.count(F.lit(1)).alias("cnt"))
     return _dated(top_with_rest(counted, [*C.AXES, "n"], "path", top))
 
 
@@ -157,11 +158,14 @@ def quality_cube(events: DataFrame, days: Sequence[str]) -> DataFrame:
     return _dated(out.select("service_code", "app_version", "period", "check_name", "violated", "total"))
 
 
-def build(name: str, events: DataFrame, days: Sequence[str], vocabulary: StateDict, rows: DataFrame | None = None, top: int = PATH_TOP) -> DataFrame:
-    """One cube; ``rows``, if given, is ``marked`` of the same events."""
+def build(name: str, events: DataFrame, days: Sequence[str], vocabulary: StateDict, rows: DataFrame | None = None, top: int = PATH_TOP, visits: DataFrame | None = None) -> DataFrame:
+    """One cube; ``rows`` and ``visits``, if given, are ``marked`` of the same events and their ``visit_rows``."""
     if name == "quality":
         return quality_cube(events, days)
     rows = S.marked(events, days, vocabulary) if rows is None else rows
+    if name in ("session", "action"):
+        return {"session": session_cube, "action": action_cube}[name](rows)
+    visits = S.visit_rows(rows) if visits is None else visits
     if name == "path":
-        return path_cube(rows, top)
-    return {"session": session_cube, "transition": transition_cube, "action": action_cube, "cond_transition": cond_transition_cube}[name](rows)
+        return path_cube(visits, top)
+    return {"transition": lambda: transition_cube(visits), "cond_transition": lambda: cond_transition_cube(rows, visits)}[name]()

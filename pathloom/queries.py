@@ -21,7 +21,7 @@ from pathloom.plans import cubes as K
 from pathloom.plans import sessions as S
 from pathloom.plans import vocabulary as V
 from pathloom.sources import events as E
-from pathloom.storage import stored
+from pathloom.storage import discard, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,7 +76,9 @@ class Workspace:
             events = self.events()
             v = self.vocabulary(events)
             rows = stored(S.marked(events, DAYS, v), "marked")
-            made = {n: stored(K.build(n, events, DAYS, v, rows), f"cube-{n}") for n in K.CUBES}
+            visits = stored(S.visit_rows(rows), "visits")
+            made = {n: stored(K.build(n, events, DAYS, v, rows, visits=visits), f"cube-{n}") for n in K.CUBES}
+            discard(rows, visits)
             _kept[key] = CubeSet(**made, state_dict_version=v.version(), services=E.FLAT_SERVICES, requested_dates=tuple(DAYS), present_dates=tuple(DAYS))
         return _kept[key]
 
@@ -187,7 +189,7 @@ def _ngrams(n: int) -> Query:
 
 
 def S_grams(spark, folder):
-    return K.ngram_rows(Workspace(spark, folder).marked())
+    return K.ngram_rows(S.visit_rows(Workspace(spark, folder).marked()))
 
 
 for _n in K.PATH_LENGTHS:
