@@ -226,12 +226,8 @@ def community_paths(cubes: CubeSet, keys: Keys = (), seed: int = 0, resolution:
     """Most walked five-step paths that stay within one community."""
     cubes.need("community_paths", "path", "transition")
     of = _communities(cubes.transition, keys, seed, resolution).select(*keys, "state", "community")
-    paths = measures.top_paths(cubes.path, 5, keys).where(F.size(F.split("path", ">")) == 5)
-    steps = paths.select(*keys, "path", "cnt", F.explode(F.split("path", ">")).alias("state")).join(of, [*keys, "state"], "left")
-    inside = steps.groupBy(*keys, "path", "cnt").agg(F.count_distinct("community").alias("n"), F.count("community").alias("known"), F.max("community").alias("community")).where("n = 1 and known = 5")
-    per = Window.partitionBy(*keys, "community")
-    ranked = inside.withColumns({"support_in_comm": F.col("cnt") / F.sum("cnt").over(per), "rank": F.row_number().over(per.orderBy(F.desc("cnt"), "path"))})
-    frame = ranked.where(F.col("rank") <= top_per_community).select(*keys, "community", "rank", "path", "cnt", "support_in_comm")
+    ranked = measures.paths_within(cubes.path, of, keys=keys)
+    frame = ranked.where(F.col("rank") <= top_per_community)
     headline = ranked.groupBy(*keys).agg(
         _num(F.count_distinct("community")).alias("communities_covered"), _num(F.count(F.lit(1))).alias("within_community_5grams"), F.max(F.when(F.col("rank") <= top_per_community, F.col("support_in_comm"))).alias("top_support")
     )

@@ -135,6 +135,34 @@ def top_paths(path: DataFrame, n: int | None, keys: Keys = ()) -> DataFrame:
     return out.where(F.col("path") != C.TAIL)
 
 
+# ---------------------------------------------------------------- communities
+
+
+def modularity(edges: DataFrame, of: DataFrame, keys: Keys = (), resolution: float = 1.0) -> DataFrame:
+    """modularity of a given split of the screens: ``of`` has keys, state and community.
+
+    Directions are added up and a loop counts at both of its ends.  Steps at an
+    end of the session, or at a screen without a community, are left out.
+    """
+    side = lambda s: of.select(*keys, F.col("state").alias(f"{s}_state"), F.col("community").alias(f"{s}_of"))
+    both = edges.where("cnt > 0").groupBy(*keys, "from_state", "to_state").agg(F.sum("cnt").alias("cnt")).join(side("from"), [*keys, "from_state"]).join(side("to"), [*keys, "to_state"])
+    within = F.when(F.col("from_of") == F.col("to_of"), F.col("cnt")).otherwise(0)
+    ends = F.array(F.struct(F.col("from_of").alias("community"), within.alias("inside")), F.struct(F.col("to_of").alias("community"), F.lit(0).cast("long").alias("inside")))
+    each = both.select(*keys, "cnt", F.explode(ends).alias("e")).groupBy(*keys, "e.community").agg(F.sum("e.inside").alias("inside"), F.sum("cnt").cast("double").alias("around"))
+    whole = F.sum("around")
+    return each.groupBy(*keys).agg((2 * F.sum("inside") / whole - resolution * F.sum(F.col("around") * F.col("around")) / (whole * whole)).alias("modularity"))
+
+
+def paths_within(path: DataFrame, of: DataFrame, n: int = 5, keys: Keys = ()) -> DataFrame:
+    """Paths of ``n`` steps all of whose screens are of one community, with their share and rank among its paths."""
+    paths = top_paths(path, n, keys).where(F.size(F.split("path", ">")) == n)
+    steps = paths.select(*keys, "path", "cnt", F.explode(F.split("path", ">")).alias("state")).join(of.select(*keys, "state", "community"), [*keys, "state"], "left")
+    inside = steps.groupBy(*keys, "path", "cnt").agg(F.count_distinct("community").alias("n"), F.count("community").alias("known"), F.max("community").alias("community")).where(f"n = 1 and known = {n}")
+    per = Window.partitionBy(*keys, "community")
+    shared = inside.withColumns({"support_in_comm": F.col("cnt") / F.sum("cnt").over(per), "rank": F.row_number().over(per.orderBy(F.desc("cnt"), "path"))})
+    return shared.select(*keys, "community", "rank", "path", "cnt", "support_in_comm")
+
+
 # ---------------------------------------------------------------- days
 
 

@@ -49,9 +49,13 @@ class Builder:
 
     def build(self, start: str, end: str, vocabulary: V.StateDict, names: Sequence[str] = K.CUBES, refresh: bool = False) -> BuildReport:
         """Builds what is missing; stops at the first failure and says where, so a second call goes on from there."""
+        return self.build_days(E.days_between(start, end), vocabulary, names, refresh)
+
+    def build_days(self, days: Sequence[str], vocabulary: V.StateDict, names: Sequence[str] = K.CUBES, refresh: bool = False) -> BuildReport:
+        """``build`` for any set of days, with gaps or without."""
         built: dict[str, list[str]] = {n: [] for n in names}
         skipped: dict[str, list[str]] = {n: [] for n in names}
-        days = E.days_between(start, end)
+        days = sorted(set(days))
         for at in range(0, len(days), self.days_at_once):
             part = days[at : at + self.days_at_once]
             missing = {n: [d for d in part if refresh or not self.store.has(n, self.key(n, vocabulary), d)] for n in names}

@@ -52,11 +52,26 @@ class Workspace:
     spark: SparkSession
     folder: str
 
+    def _made_of(self) -> tuple:
+        """The session, and name, size and time of every file of the tables: other files, other cubes."""
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        found = []
+        for table in ("events", "customer"):
+            todo = [fs.Path(f"{self.folder}/{table}.parquet")]
+            at = todo[0].getFileSystem(self.spark._jsc.hadoopConfiguration())
+            while todo:
+                for s in at.listStatus(todo.pop()):
+                    if s.isDirectory():
+                        todo.append(s.getPath())
+                    else:
+                        found.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+        return self.spark.sparkContext.applicationId, self.folder, tuple(sorted(found))
+
     def events(self) -> DataFrame:
         return E.flat_events(self.spark, self.folder, DAYS)
 
     def vocabulary(self, events: DataFrame | None = None) -> V.StateDict:
-        key = ("vocabulary", self.spark.sparkContext.applicationId, self.folder)
+        key = ("vocabulary", *self._made_of())
         if key not in _kept:
             events = events if events is not None else self.events()
             _kept[key] = V.build(events.where(F.col("date_id").isin(*DAYS)), min_count=1)
@@ -71,7 +86,7 @@ class Workspace:
         return K.build(name, events, DAYS, self.vocabulary(events), top=O.TOP)
 
     def cubes(self) -> CubeSet:
-        key = ("cubes", self.spark.sparkContext.applicationId, self.folder)
+        key = ("cubes", *self._made_of())
         if key not in _kept:
             events = self.events()
             v = self.vocabulary(events)
@@ -141,6 +156,14 @@ def dict_screens_approx(spark, folder):
     return V.counts(Workspace(spark, folder).events(), "screens", exact=False)
 
 
+@query("dict_screens_approx_error", f"WITH {O.BASE}, {O.DICTS} SELECT value, cnt, true AS close FROM n_screens")
+def dict_screens_approx_error(spark, folder):
+    """Exact counts, and whether the approximate ones are within four times their relative deviation."""
+    events = Workspace(spark, folder).events().where(F.col("date_id").isin(*DAYS))
+    near = V.counts(events, "screens", exact=False, rsd=0.023).withColumnRenamed("cnt", "near")
+    return V.counts(events, "screens").join(near, "value").select("value", "cnt", (F.abs(F.col("near") - F.col("cnt")) <= 4 * 0.023 * F.col("cnt") + 1).alias("close"))
+
+
 # ---------------------------------------------------------------- sessions and visits
 
 _AXES = ", ".join(C.AXES)
@@ -439,6 +462,31 @@ analysis_query("markov_order3_flow", "markov_order_flow", O.over("path", "transi
 analysis_query("screen_communities", "screen_communities")
 analysis_query("community_paths", "community_paths")
 
+# SQL has no search for communities; what is measured on a given split of the screens it has: here their services, without unlisted screens.
+_SPLIT = f"sp AS (SELECT DISTINCT state, {O.SERVICE.format('state')} AS community FROM (SELECT from_state AS state FROM c_transition UNION ALL SELECT to_state FROM c_transition) WHERE state LIKE '%/%' AND state NOT LIKE '%/other')"
+
+
+def _by_service(edges: DataFrame) -> DataFrame:
+    """state and its service as its community."""
+    return markov.screens(edges).select("state", C.service_of(F.col("state")).alias("community")).where(F.col("community").isNotNull() & ~C.is_lumped(F.col("state")))
+
+
+@query("modularity_of_services", O.over("transition", ctes=f"""{_SPLIT},
+w AS (SELECT a.community AS a, b.community AS b, cast(cnt AS double) AS w FROM c_transition JOIN sp a ON a.state = from_state JOIN sp b ON b.state = to_state),
+c AS (SELECT a AS community, sum(w) AS deg FROM (SELECT a, w FROM w UNION ALL SELECT b, w FROM w) GROUP BY 1)""", select=f"SELECT {O.r('(SELECT sum(w) FROM w WHERE a = b) / (SELECT sum(w) FROM w) - sum(power(deg / (SELECT 2 * sum(w) FROM w), 2))')} AS modularity FROM c"))
+def modularity_of_services(spark, folder):
+    edges = Workspace(spark, folder).cubes().transition
+    return rounded(measures.modularity(edges, _by_service(edges)))
+
+
+@query("paths_within_services", O.over("transition", "path", ctes=f"""{_SPLIT},
+five AS (SELECT path, sum(cnt) AS cnt, string_split(path, '>') AS steps FROM c_path WHERE n = 5 AND path <> '(other)' GROUP BY path),
+kin AS (SELECT path, cnt, min(community) AS community FROM (SELECT path, cnt, unnest(steps) AS state FROM five) LEFT JOIN sp USING (state) GROUP BY path, cnt HAVING count(community) = 5 AND min(community) = max(community))""",
+    select=f"SELECT community, row_number() OVER (PARTITION BY community ORDER BY cnt DESC, path) AS rank, path, cast(cnt AS bigint) AS cnt, {O.r('cnt / sum(cnt) OVER (PARTITION BY community)')} AS support_in_comm FROM kin"))
+def paths_within_services(spark, folder):
+    c = Workspace(spark, folder).cubes()
+    return rounded(measures.paths_within(c.path, _by_service(c.transition)))
+
 # ---------------------------------------------------------------- quality
 
 analysis_query("quality_report", "quality_report", O.over("quality", select=f"SELECT check_name, period, cast(sum(violated) AS bigint) AS violated, cast(sum(total) AS bigint) AS total, {O.r('sum(violated) / sum(total)')} AS ratio FROM c_quality GROUP BY 1, 2"))

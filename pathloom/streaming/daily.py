@@ -1,7 +1,7 @@
 """New partitions of the event log, cubes that follow.
 
 Structured Streaming keeps track of which files have been seen; each batch names
-the days that it touches, and the batch builder makes those days again (a late
+the days that it touches, and the batch builder makes those days again in one build (a late
 partition also concerns the day before and the day after).
 """
 
@@ -29,10 +29,9 @@ def follow(spark: SparkSession, path: str, schema: str, builder: Builder, vocabu
 
     def rebuild(batch: DataFrame, _: int) -> None:
         days = [r[0] for r in batch.select(day_column).where(f"{day_column} is not null").distinct().collect()]
-        for d in touched(days):
-            report = builder.build(d, d, vocabulary, names, refresh=True)
-            if report.failed:
-                raise RuntimeError(report.failed)
+        report = builder.build_days(touched(days), vocabulary, names, refresh=True)
+        if report.failed:
+            raise RuntimeError(report.failed)
 
     stream = spark.readStream.schema(schema).parquet(path)
     return stream.writeStream.foreachBatch(rebuild).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

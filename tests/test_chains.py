@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from pathloom.analyses import CubeSet, base
 from pathloom.operators import louvain, markov, measures
@@ -129,6 +130,19 @@ def test_two_triangles(edges):
     assert r.headline["modularity"] == pytest.approx(0.5)
 
 
+def test_modularity_of_a_given_split(spark, edges):
+    rng = np.random.default_rng(5)
+    rows = [(f"n{a}", f"n{b}", int(rng.integers(1, 30))) for a in range(9) for b in range(9) if rng.random() < 0.5]
+    split = {f"n{a}": a % 3 for a in range(9)}
+    of = spark.createDataFrame(list(split.items()), "state string, community int")
+    got = measures.modularity(edges(*rows, ("START", "n1", 9), ("n2", "EXIT", 9), ("n3", "unknown", 4)), of, resolution=1.2).first()["modularity"]
+    assert got == pytest.approx(louvain.modularity(louvain.undirected(rows), split, 1.2))
+    sliced = edges(*[(k, *r) for k, part in (("p", rows), ("q", TRIANGLES)) for r in part], columns="slice string, from_state string, to_state string, cnt long")
+    both = of.selectExpr("'p' AS slice", "*").unionByName(spark.createDataFrame([("q", s, s in "ABC") for s in "ABCXYZ"], "slice string, state string, community boolean").withColumn("community", F.col("community").cast("int")))
+    assert {r["slice"]: r["modularity"] for r in measures.modularity(sliced, both, ("slice",)).collect()} == pytest.approx({"p": louvain.modularity(louvain.undirected(rows), split), "q": 0.5})
+    assert measures.modularity(edges(), of).first() is None or measures.modularity(edges(), of).first()["modularity"] is None
+
+
 def test_row_order_does_not_change_communities():
     rng = np.random.default_rng(3)
     rows = [(f"n{a}", f"n{b}", float(rng.integers(1, 30))) for a in range(12) for b in range(12) if rng.random() < 0.4]

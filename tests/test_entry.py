@@ -37,7 +37,7 @@ def same(spark, folder, name):
     assert plain(map(tuple, got.select(*[f"`{c}`" for c in cols]).collect())) == plain(db.sql(entry.oracle_sql()[name]).select(*[f'"{c}"' for c in cols]).fetchall())
 
 
-@pytest.mark.parametrize("name", ["canonical_events", "session_attribution", *(f"cube_{c}" for c in ("session", "transition", "action", "cond_transition", "path", "quality")), "determinism", "stationary", "action_information", "markov_order_flow", "decompose_parts", "per_service_transition"])
+@pytest.mark.parametrize("name", ["canonical_events", "session_attribution", *(f"cube_{c}" for c in ("session", "transition", "action", "cond_transition", "path", "quality")), "determinism", "stationary", "action_information", "markov_order_flow", "decompose_parts", "per_service_transition", "modularity_of_services", "paths_within_services", "dict_screens_approx_error"])
 def test_against_sql(spark, name):
     same(spark, FOLDER, name)
 
