@@ -248,7 +248,8 @@ def fingerprint_hex(fp):
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the document with the least id stays, once.
 
-    Rows with a null doc_id stay.
+    Rows with a null doc_id stay.  Of several rows of one id the one with the least
+    text does (then: the least as JSON).
     """
     found = near_duplicates(docs)
     stay = common.stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).select(F.col("doc_id").alias("id"), "rows"), "survivors")
@@ -258,5 +259,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = whole.join(stay.hint("merge"), F.col("row.doc_id") == F.col("id"), "inner")
     once = kept.where("rows = 1").select(*own)
     if not stay.where("rows > 1").isEmpty():
-        once = once.unionByName(kept.where("rows > 1").dropDuplicates(["id"]).select(*own))
+        first = F.min_by("row", F.struct("row.text", F.to_json("row"))).alias("row")
+        once = once.unionByName(kept.where("rows > 1").groupBy("id").agg(first).select(*own))
     return once.unionByName(docs.where(F.col("doc_id").isNull()))
