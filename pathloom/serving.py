@@ -8,7 +8,7 @@ import math
 import threading
 from collections.abc import Callable, Hashable, Mapping, Sequence
 from typing import Any
-from urllib.parse import parse_qs
+from urllib.parse import parse_qs, quote, urlencode
 
 from pathloom.analyses import base
 from pathloom.operators import segments
@@ -257,12 +257,31 @@ def meta(builder: Builder, vocabulary: StateDict, start: str, end: str) -> dict:
     })
 
 
+def asked_of(query: str) -> dict[str, str]:
+    """A query string as a request: of a repeated key the last value, of a repeated axis all of them, by commas."""
+    return {k: ",".join(v) if k in C.AXES else v[-1] for k, v in parse_qs(query).items()}
+
+
+def link(name: str, start: str, end: str, segment: Mapping[str, str | Sequence[str]] | None = None, params: Mapping[str, str] | None = None, page: int = 1, between: tuple[str, str, str] | None = None) -> str:
+    """Path and query string to which ``application`` gives this answer, for sharing.
+
+    ``between`` (axis, a, b) asks for a comparison, which has no filter and no
+    pages.  Blank values and the first page are left out.
+    """
+    own = {"start": start, "end": end} | {k: v for k, v in (params or {}).items() if str(v) != ""}
+    if between:
+        own |= dict(zip(("on", "a", "b"), between, strict=True))
+    else:
+        own |= segment_of(segment or {}) | ({"page": page} if page > 1 else {})
+    return f"/api/{'compare' if between else 'analysis'}/{quote(name)}?{urlencode(own, doseq=True)}"
+
+
 def application(builder: Builder, vocabulary: StateDict, start: str, end: str, budget: int = 1 << 30) -> Callable:
     """A WSGI application: /api/meta, /api/analysis/<name> and /api/compare/<name>, all with JSON answers.
 
     Of the query string, start, end, page, page_size, and for a comparison on, a
-    and b, are the request's own; axes filter, several values by commas; the rest
-    are the analysis' parameters.
+    and b, are the request's own; axes filter, several values by commas or by
+    repeating the axis; the rest are the analysis' parameters.
     """
     cache = answers(budget)
 
@@ -291,7 +310,7 @@ def application(builder: Builder, vocabulary: StateDict, start: str, end: str, b
             if environ.get("REQUEST_METHOD", "GET") != "GET":
                 status, said = 405, {"error": "only GET is served"}
             else:
-                said = answer(environ.get("PATH_INFO", "/"), {k: v[-1] for k, v in parse_qs(environ.get("QUERY_STRING", "")).items()})
+                said = answer(environ.get("PATH_INFO", "/"), asked_of(environ.get("QUERY_STRING", "")))
         except Exception as why:
             status, said = status_of(why), {"error": f"{type(why).__name__}: {why}"}
         body = json.dumps(said, default=str).encode()

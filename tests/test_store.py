@@ -239,6 +239,12 @@ def test_http(builder):
     assert ask("/api/analysis/nothing")[0] == ask("/elsewhere")[0] == 404
     assert ask("/api/analysis/screen_flow", "page=0")[0] == ask("/api/analysis/screen_flow", "colour=red")[0] == ask("/api/compare/screen_flow")[0] == 400
     assert ask("/api/meta", method="POST")[0] == 405
+    path, _, query = serving.link("screen_flow", D[0], D[1], {"os": ["android", "ios"], "gender": ""}, {"damping": "0.5", "exit_within": ""}, page=2).partition("?")
+    assert serving.asked_of(query) == {"start": D[0], "end": D[1], "damping": "0.5", "os": "android,ios", "page": "2"}
+    status, said = ask(path, query + "&page_size=2")
+    assert status == 200 and said["total_rows"] == 3 and len(said["rows"]) == 1 and said["params"]["damping"] == 0.5
+    path, _, query = serving.link("session_trend", D[0], D[1], between=("os", "android", "android")).partition("?")
+    assert path == "/api/compare/session_trend" and ask(path, query)[0] == 200
 
 
 def test_new_partitions_are_followed(builder, spark, tmp_path):
