@@ -287,3 +287,78 @@ def test_rows_of_one_id_are_learned_from_once(docs, spark):
     rows = [(5, "some text of one id")] * 300 + [(i, f"text {i}") for i in range(6, 20)]
     sample = spark.createDataFrame([(5, 1), (6, 0)], "doc_id long, label int")
     assert sorted(map(tuple, common.sample_texts(docs(*rows), sample, "label").collect())) == [("some text of one id", 1), ("text 6", 0)]
+
+
+def test_slopes_of_all_pairs_by_brute_force():
+    """Gradient and curvature from moments by cell, against a list of all pairs."""
+    rng = np.random.default_rng(3)
+    z, v = rng.normal(size=(300, 5)), np.array([3.0, -2.0, 0.5, 0.0, 9.0])
+    z[0] *= 100
+    side = ({}, {})
+    label = (rng.random(300) < 0.4).astype(int)
+    for k in (0, 1):
+        # Two batches meet in a cell.
+        for at in (slice(0, 140), slice(140, 300)):
+            some = z[at][label[at] == k]
+            for c, m in quality.moments(some, some @ v):
+                side[k][c] = side[k].get(c, 0) + m
+    got = quality.pair_slopes(side[1], side[0], 5)
+    d = (z[label == 1][:, None] - z[label == 0][None]).reshape(-1, 5)
+    p = 1 / (1 + np.exp(d @ v))
+    assert got[0] == pytest.approx(-(p @ d), rel=1e-9, abs=1e-7)
+    assert got[1] == pytest.approx((d * (p * (1 - p))[:, None]).T @ d, rel=1e-9, abs=1e-7)
+
+
+def test_quality_learns_from_every_pair(docs, spark):
+    """Weights and cut of a fit against those of all pairs, listed; labels overlap, so that each pair tells."""
+    rng = random.Random(4)
+    rows = [(i, long_text(rng.randint(5, 60), i).upper()[: rng.randint(0, 90)] + long_text(rng.randint(5, 60), i + 1000)) for i in range(120)]
+    labels = [(i, int(rng.random() < (0.8 if t[:1].islower() or i % 3 else 0.3))) for i, t in rows]
+    model = quality.fit(docs(*rows), spark.createDataFrame([*labels, *labels[:7], (999, 1)], "doc_id long, quality int"))
+    x = np.array([quality.features(t.encode()) for _, t in rows])
+    good = np.array([k for _, k in labels]) > 0
+    spread = x.std(axis=0)
+    spread[spread < 1e-9] = np.inf
+    z = (x - x.mean(axis=0)) / spread
+    d = (z[good][:, None] - z[~good][None]).reshape(-1, quality.WIDTH)
+    weight, v = 2 * min(60_000, 20 * max(good.sum(), (~good).sum())) / len(d), np.zeros(quality.WIDTH)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(d @ v))
+        v -= np.linalg.solve(weight * (d * (p * (1 - p))[:, None]).T @ d + np.eye(len(v)), v - weight * (p @ d)) * 0.7
+    assert model.weights * np.where(np.isinf(spread), 0, spread) == pytest.approx(v, abs=1e-6)
+    s, bad = np.sort(x @ model.weights), int((~good).sum())
+    assert model.cut == pytest.approx((s[bad - 1] + s[bad]) / 2, abs=1e-9)
+
+
+def test_quality_cut_counts_every_document(spark):
+    """More labels than any sample held: as many documents fall below the cut as are labelled bad."""
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.substring(F.sha2(F.col("id").cast("string"), 512), 1, (20 + F.col("id") % 97).cast("int")), F.upper(F.sha2((F.col("id") + 7).cast("string"), 256))).alias("text"))
+    labels = docs.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(100)) < 20 + 60 * (F.col("doc_id") % 97 > 40).cast("int")).cast("int").alias("quality"))
+    got = quality.score(docs, quality.fit(docs, labels))
+    assert got.where(F.col("score") < quality.THRESHOLD).count() == labels.where("quality = 0").count()
+
+
+def test_middle_of_scores(spark):
+    rng = np.random.default_rng(6)
+    s = np.concatenate([rng.normal(size=40) * 10.0 ** rng.integers(-9, 9, 40), [0.0, -0.0, 0.5, 0.5, 0.5, 3.0]])
+    rows = spark.createDataFrame([([float(v)], 0) for v in s], "x array<double>, label int")
+    scored = quality._scored(rows, np.ones(1)).cache()
+    s = np.sort(s)
+    for n in range(1, len(s)):
+        if n % 5 == 0 or s[n] == 0.5 or s[n] == 0:
+            assert quality.middle(scored, n) == (s[n - 1] + s[n]) / 2
+    scored.unpersist()
+
+
+def test_newton_settles(spark):
+    """The slope of scores that stand apart is found to the end; a step that would overshoot for ever is halved."""
+    rows = spark.range(4000).select((F.col("id") / 100 - 20 + F.when(F.col("id") < 2000, -0.2).otherwise(0.2)).alias("s"), (F.col("id") >= 2000).cast("int").alias("label"))
+    t, y = np.array(rows.collect()).T
+    w = np.zeros(2)
+    x = np.column_stack([t - 0.005, np.ones(4000)])
+    for _ in range(400):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        w -= 0.3 * np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-3, 1e-6]), x.T @ (p - y) + np.array([1e-3, 1e-6]) * w)
+    assert quality._slope(rows, 0.005) == pytest.approx(w[0], rel=1e-6)
+    # Newton's own steps from 0 to 7 would land ever farther off on the other side.
+    assert quality.newton(1, lambda v: ((v - 7) / np.sqrt(1 + (v - 7) ** 2), np.diag((1 + (v - 7) ** 2) ** -1.5))) == pytest.approx(7)
