@@ -8,13 +8,15 @@ write and read them.  The place of a document among all ids is its place in the
 shard plus the tokens of the shards before: one number for each shard, summed on
 the cluster.
 
-Tokenizing gives the ids of the plain call of the library on the whole text.  A
-byte-level BPE never joins the two sides of a space that stands between two other
-characters: what follows such a space is encoded as it would be alone.  Pieces
-between these spaces are therefore looked up in a bounded table, and only new
-pieces go through the tokenizer, many in one call.  Texts that hold one of the
-vocabulary's own added strings go through whole, and so does every text if the
-tokenizer's steps are not those that this rests on (``cuts_at_spaces``).
+Tokenizing gives the ids of the plain call of the library on the whole text.  The
+first step of a byte-level BPE cuts a text where a letter is followed by anything
+else, before the last character of white space in front of something else, and
+after it if it is no space; ids never reach over such a cut, and what follows is
+encoded as it would be alone.  Pieces between these cuts are found in the bytes of
+many texts at once and looked up in a bounded table, and only new pieces go
+through the tokenizer, many in one call.  Texts that hold one of the vocabulary's
+own added strings go through whole, and so does every text if the tokenizer's
+steps are not those that this rests on (``cuts_at_spaces``).
 
 Defined cases: a null text is an empty one and gives the end id only; strings
 that the tokenizer takes for special tokens become those tokens, as in the plain
@@ -49,27 +51,59 @@ SENT_SHARDS = 100_000
 CHUNK_BYTES = 4 << 20
 #: Longer ones are not kept.
 LONG = 64
-#: Stands for the ids of a piece that cannot be encoded apart.
-ODD = object()
-#: A word of letters, and what comes after it, which begins with a mark but no apostrophe.
-_word_and_tail = re.compile(r"([^\W\d_]+)([^\w\s'\u2019].*)")
-#: Marks that, after a word of letters, are a step of the tokenizer by themselves; an apostrophe may begin a contraction and is not one.
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_white = re.compile(r"[\s\x1c-\x1f\x85]")
+_white = re.compile(r"[\s\x1c-\x1f\x85\u180e]")
+#: A piece that can go through with others.
+_plain = re.compile(r" ?[^\s\x1c-\x1f\x85\u180e]+")
+#: What a byte may be: a letter; another character of one byte; white space, or what some take for it; the first byte of what may be white space; the first of a letter of two bytes.
+_LETTER, _OTHER, _WHITE, _DOUBT, _LEAD = 1, 2, 4, 8, 16
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[:0x80] = _OTHER
+_KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KINDS[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] |= _WHITE
+_KINDS[[0xC2, 0xE1, 0xE2, 0xE3]] = _DOUBT
+#: Latin to U+017F but for two signs (bytes 0x97 and 0xB7 after 0xC3), Cyrillic to U+047F.
+_KINDS[[0xC3, 0xC4, 0xC5, 0xD0, 0xD1]] = _LEAD
 
 
 class _Table(dict):
-    """Ids of what follows a space, by piece; a piece that is not there is noted and gives None."""
+    """Numbers of pieces (bytes); a piece that is not there gets the next number and is noted."""
 
     def __init__(self):
-        self.asked: dict[str, None] = {}
-
-    def __missing__(self, piece: str) -> None:
-        self.asked[piece] = None
+        self.asked: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> int:
+        n = self[piece] = len(self)
+        self.asked.append(piece)
+        return n
+
+
+def _cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where pieces begin in UTF-8 bytes of texts, one after another; ``starts`` are those of the texts that are not empty."""
+    kind = _KINDS[data]
+    letter = (kind & _LETTER).astype(bool)
+    # The second byte of a letter of two.
+    letter[1:] |= (kind[:-1] & _LEAD).astype(bool) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    cut = np.zeros(len(data), bool)
+    np.logical_and(letter[:-1], kind[1:] & _OTHER, out=cut[1:])
+    white = (data == 0x20) | (data == 0x0A)
+    # White space at the end of a text is one step with what is before it.
+    white[starts[1:] - 1] = False
+    white[-1:] = False
+    white = np.flatnonzero(white)
+    after = kind[white + 1]
+    apart = (after & _WHITE) == 0
+    for k in np.flatnonzero(after & _DOUBT).tolist():
+        at = int(white[k]) + 1
+        apart[k] = not _white.match(data[at : at + (2 if data[at] == 0xC2 else 3)].tobytes().decode())
+    white = white[apart]
+    cut[white] = True
+    cut[white[data[white] == 0x0A] + 1] = True
+    cut[starts] = True
+    return np.flatnonzero(cut)
 
 
 def cuts_at_spaces(steps: dict) -> bool:
-    """Whether the steps of a tokenizer (its file) let pieces between spaces be encoded apart.
+    """Whether the steps of a tokenizer (its file) let pieces between cuts be encoded apart.
 
     So it is for a byte-level BPE with the usual pattern and nothing before or after it.
     """
@@ -95,15 +129,16 @@ class Encoder:
         self.vocab = self.tokenizer.get_vocab_size()
         self.kind = np.uint16 if self.vocab <= 1 << 16 else np.uint32
         self.newline = self.ids("\n")
-        #: Ids of what does not follow a space: marks after words, first words of lines, newlines.
-        self.rest: dict[str, bytes] = {"\n": self.newline.tobytes()}
-        self.missed = 0
         self._renew()
 
     def _renew(self) -> None:
         self.known = _Table()
-        # Not a piece of its own: white space belongs to the run before it.
-        self.known[""] = ODD
+        # Number 0 is the end of a text.
+        self.known[b""] = 0
+        self.start = np.zeros(1, np.int64)
+        self.size = np.ones(1, np.int64)
+        self.pool = np.zeros(1, self.kind)
+        self.missed = 0
 
     def _whole(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         tail = [] if end_id is None else [end_id]
@@ -113,79 +148,31 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
-    def _many(self, words: list[str], space: str) -> dict[str, bytes]:
-        """Ids of strings without white space, with ``space`` before each: many go through in one text, parted by newlines."""
-        got: dict[str, bytes] = {}
-        for at in range(0, len(words), 1000):
-            part = words[at : at + 1000]
-            text = f"{space}{f'\n{space}'.join(part)}\n"
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.flatnonzero(ids == self.newline[0]) if len(self.newline) == 1 else ()
-            if len(ends) != len(part):
-                got.update((p, self.ids(space + p).tobytes()) for p in part)
-                continue
-            data, w = ids.tobytes(), ids.itemsize
-            ends = (ends * w).tolist()
-            got.update(zip(part, [data[a:b] for a, b in zip([0, *[e + w for e in ends]], ends, strict=False)], strict=True))
-        return got
-
-    @staticmethod
-    def _atoms(piece: str) -> list[str] | None:
-        """The piece after its space, cut where the tokenizer's own first step cuts: at single newlines, and between a word and the marks after it."""
-        out: list[str] = []
-        for k, line in enumerate(piece.split("\n")):
-            if not line or _white.search(line):
-                return None
-            if k:
-                out.append("\n")
-            space = "" if k else " "
-            m = _word_and_tail.fullmatch(line)
-            if m:
-                out += [space + m[1], m[2]]
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces, and where each piece's begin and how many they are; many pieces go through in one text, parted by newlines."""
+        words = [p.decode() for p in pieces]
+        plain = np.fromiter((_plain.fullmatch(w) is not None for w in words), bool, len(words)) & (len(self.newline) == 1)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        n_plain = np.count_nonzero(plain)
+        ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        for at in range(0, n_plain, 1000):
+            part = [words[k] for k in order[at : min(at + 1000, n_plain)].tolist()]
+            got = np.array(self.tokenizer.encode_batch_fast(["\n".join([*part, ""])], add_special_tokens=False)[0].ids, self.kind)
+            ends = got == self.newline[0]
+            if np.count_nonzero(ends) == len(part):
+                ids.append(got[~ends])
+                sizes.append(np.diff(np.flatnonzero(ends), prepend=-1) - 1)
             else:
-                out.append(space + line)
-        return out
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces as they are after a space."""
-        known, rest = self.known, self.rest
-        words: dict[str, None] = {}
-        others: dict[str, None] = {}
-        marked: list[tuple[str, str, str]] = []
-        plan: dict[str, list[str]] = {}
-        got: dict[str, bytes] = {}
-        for p in pieces:
-            word = p.rstrip(_MARKS)
-            if word.isalpha():
-                if word not in known:
-                    words[word] = None
-                if len(word) < len(p):
-                    tail = p[len(word) :]
-                    marked.append((p, word, tail))
-                    if tail not in rest:
-                        others[tail] = None
-                continue
-            atoms = self._atoms(p)
-            if atoms is None:
-                got[p] = ODD if _white.match(p) else self.ids(" " + p).tobytes()
-                continue
-            plan[p] = atoms
-            for x in atoms:
-                if x[0] == " ":
-                    if x[1:] not in known:
-                        words[x[1:]] = None
-                elif x not in rest:
-                    others[x] = None
-        new = self._many(list(words), " ")
-        more = self._many(list(others), "")
-        for p, word, tail in marked:
-            got[p] = (new.get(word) or known[word]) + (more.get(tail) or rest[tail])
-        for p, atoms in plan.items():
-            got[p] = b"".join([(new.get(x[1:]) or known[x[1:]]) if x[0] == " " else (more.get(x) or rest[x]) for x in atoms])
-        got.update(new)
-        if len(rest) < KEPT_PIECES // 10:
-            rest.update((x, ids) for x, ids in more.items() if len(x) <= LONG)
-        return got
+                alone = [self.ids(w) for w in part]
+                ids += alone
+                sizes.append(np.fromiter(map(len, alone), np.int64, len(alone)))
+        alone = [self.ids(words[k]) for k in order[n_plain:].tolist()]
+        sizes.append(np.fromiter(map(len, alone), np.int64, len(alone)))
+        size, start = np.empty((2, len(words)), np.int64)
+        size[order] = np.concatenate(sizes)
+        start[order] = np.cumsum(size[order]) - size[order]
+        return np.concatenate(ids + alone), start, size
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: empty) one after another, and each text's number of ids; ``end_id`` follows each text.
@@ -197,49 +184,39 @@ class Encoder:
         if not self.pieces:
             return self._whole(texts, end_id)
         n_texts = len(texts)
-        cut = pc.split_pattern(texts, " ")
-        flat = cut.flatten()
-        offsets = cut.offsets.to_numpy()[: n_texts + 1].astype(np.int64)
-        offsets -= offsets[0]
-        first = offsets[:-1]
-        after = np.ones(len(flat), bool)
-        after[first] = False
-        numbered = flat.filter(pa.array(after)).dictionary_encode()
+        bounds = np.cumsum(np.append(0, pc.binary_length(texts).to_numpy(zero_copy_only=False)), dtype=np.int64)
+        _, offsets, held = texts.buffers()
+        wide = np.dtype(np.int64 if pa.types.is_large_string(texts.type) else np.int32)
+        first = int(np.frombuffer(offsets, wide, 1, texts.offset * wide.itemsize)[0]) if n_texts else 0
+        data = np.frombuffer(held, np.uint8, int(bounds[-1]), first) if bounds[-1] else np.empty(0, np.uint8)
+        cuts = _cuts(data, bounds[:-1][bounds[1:] > bounds[:-1]])
+        edges = pa.py_buffer(np.append(cuts, len(data)).astype(wide))
+        numbered = pa.Array.from_buffers(pa.large_binary() if wide.itemsize == 8 else pa.binary(), len(cuts), [None, edges, pa.py_buffer(data)]).dictionary_encode()
         words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
-        values = list(map(self.known.__getitem__, words))
-        asked = list(self.known.asked)
-        self.known.asked.clear()
-        if asked:
-            got = self._learn(asked)
-            values = [got[w] if x is None else x for x, w in zip(values, words, strict=True)]
-            self._keep(got)
-        odd = np.fromiter((x is ODD for x in values), bool, len(values))
-        if odd.any():
-            values = [b"" if x is ODD else x for x in values]
-        values += [self._first(h) for h in flat.take(pa.array(first)).to_numpy(zero_copy_only=False)]
-        values.append(b"" if end_id is None else np.array([end_id], self.kind).tobytes())
-        size = np.fromiter(map(len, values), np.int64, len(values)) // np.dtype(self.kind).itemsize
-        start = np.cumsum(size) - size
-        ids = np.frombuffer(b"".join(values), self.kind)
-        # Each text: its first piece, the pieces after spaces, the end.
-        code = np.empty(len(flat) + n_texts, np.int64)
-        at = np.arange(len(flat)) + np.repeat(np.arange(n_texts), np.diff(offsets))
-        code[at[after]] = numbered.indices.to_numpy()
-        code[at[first]] = len(words) + np.arange(n_texts)
-        closing = offsets[1:] + np.arange(n_texts)
-        code[closing] = len(values) - 1
+        known = self.known
+        number = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        start, size, pool = self.start, self.size, self.pool
+        if known.asked:
+            ids, new, sizes = self._learn(known.asked)
+            start, size, pool = np.append(start, len(pool) + new), np.append(size, sizes), np.append(pool, ids)
+            self._keep(start, size, pool)
+        # The pieces of each text, and its end.
+        code = number[numbered.indices.to_numpy()]
+        closing = np.searchsorted(cuts, bounds[1:])
+        if end_id is not None:
+            code = np.insert(code, closing, 0)
+            closing += np.arange(1, n_texts + 1)
         n = size[code]
         ends = np.cumsum(n)
         index = np.arange(int(ends[-1]) if len(ends) else 0)
         index += np.repeat(start[code] - (ends - n), n)
-        out, upto = ids[index], ends[closing]
+        out, upto = pool[index], np.append(0, ends)[closing]
+        if end_id is not None:
+            out[upto - 1] = end_id
         lengths = np.diff(upto, prepend=0)
         strange = np.zeros(n_texts, bool)
         for t in self.added:
             strange |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
-        if odd.any():
-            # White space beside a space.
-            strange[np.searchsorted(closing, np.flatnonzero(np.append(odd, np.zeros(len(values) - len(odd), bool))[code]))] = True
         if strange.any():
             # Those texts go through whole.
             parts = np.split(out, upto[:-1])
@@ -249,22 +226,30 @@ class Encoder:
             out, lengths = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, n_texts)
         return out, lengths
 
-    def _keep(self, got: dict[str, bytes]) -> None:
-        known = self.known
-        if len(known) < KEPT_PIECES:
-            known.update(got)
-            for p in [p for p in got if len(p) > LONG]:
-                del known[p]
+    def _keep(self, start: np.ndarray, size: np.ndarray, pool: np.ndarray) -> None:
+        """Takes over what was learned, given with all from before: pieces that are not long, while there is room."""
+        known, old = self.known, len(self.start)
+        asked, known.asked = known.asked, []
+        room = old < KEPT_PIECES
+        stay = [k for k, p in enumerate(asked) if len(p) <= LONG] if room else []
+        if len(stay) == len(asked):
+            self.start, self.size, self.pool = start, size, pool
+            return
+        for p in asked:
+            del known[p]
+        if room:
+            known.update((asked[k], old + j) for j, k in enumerate(stay))
+            took = old + np.array(stay, np.int64)
+            kept = size[took]
+            ends = np.cumsum(kept)
+            self.start = np.append(self.start, len(self.pool) + ends - kept)
+            self.pool = np.append(self.pool, pool[np.arange(int(kept.sum())) + np.repeat(start[took] - (ends - kept), kept)])
+            self.size = np.append(self.size, kept)
             return
         # A full table serves on; it begins anew once it has missed several times its size.
-        self.missed += len(got)
+        self.missed += len(asked)
         if self.missed > 8 * KEPT_PIECES:
             self._renew()
-            self.missed = 0
-
-    def _first(self, head: str) -> bytes:
-        """Ids of what stands before the first space."""
-        return (self.rest.get(head) or self.ids(head).tobytes()) if head else b""
 
 
 _encoders: dict[str, Encoder] = {}

@@ -49,6 +49,39 @@ def test_any_text(texts):
     check(tokenids.encoder(PATH), texts)
 
 
+@given(st.lists(st.text(alphabet="aZéÿжśҁ×÷҂ \xa0\u2003\u3000\u180e\u200b\x85\x1c\n\t\r.,'’“1²_語", max_size=30), min_size=1, max_size=5), st.booleans())
+@settings(max_examples=300, deadline=None)
+def test_texts_around_cuts(texts, wide):
+    enc = tokenids.encoder(PATH)
+    check(enc, texts)
+    part = pa.array(["x ", *texts, " y"], pa.large_string() if wide else pa.string()).slice(1, len(texts))
+    got, n = enc.encode(part)
+    assert [p.tolist() for p in np.split(got, np.cumsum(n)[:-1])] == [UNTOUCHED.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_word_is_learned_once_whatever_stands_beside_it():
+    """Else every word goes through the tokenizer again with each mark, line end and word of the next line."""
+    fresh = tokenids.Encoder(PATH)
+    words = ["sternwoge", "été", "bożek", "слово", "a"]
+    texts = [f"so {w}{mark}{then}" for w in words for mark in ["", ".", ",", "&&&", "'s", "1", "\n"] for then in ["", " ", "\nNext", *(f"\n{x}" for x in words), *(f" {x}" for x in words)]]
+    check(fresh, texts)
+    # Words after a space and at the start of a line, marks, line ends.
+    assert len(fresh.known) < 40
+    seen = len(fresh.known)
+    check(fresh, [t.replace("so ", "so so ") for t in texts])
+    assert len(fresh.known) <= seen + 1
+
+
+def test_long_pieces_are_not_kept():
+    fresh = tokenids.Encoder(PATH)
+    texts = ["a " + "x" * 100 + " b", "y" * 70 + ". c\td e", "f " + "z" * 65, "g"]
+    for _ in range(2):
+        check(fresh, texts)
+        assert max(map(len, fresh.known)) <= tokenids.LONG
+        assert sorted(fresh.known.values()) == list(range(len(fresh.start))) and len(fresh.size) == len(fresh.start)
+        assert len(fresh.pool) == fresh.size.sum()
+
+
 def test_a_full_table(enc, monkeypatch):
     monkeypatch.setattr(tokenids, "KEPT_PIECES", 10)
     fresh = tokenids.Encoder(PATH)
